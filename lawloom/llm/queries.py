@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawloom.llm.leakage import leaked
+from lawloom.llm.lookalikes import unify
 from lawloom.llm.near_duplicates import key_pairs, near_duplicates
 from lawloom.llm.splitting import split_oversized
+from lawloom.llm.tokenizing import decode, encode
 from lawloom.sources.tables import table
 
+TOKENIZER = os.environ.get("LAWLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Prints of more than 8,000 characters: those that the splitter cuts into several pieces."""
@@ -33,9 +40,41 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return key_pairs(links, members)
 
 
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode(table(spark, root, "documents"), "doc_id", "text", TOKENIZER)
+
+
+def p8_decoded(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's text made again from its ids; a null text comes back empty."""
+    return decode(p8_ids(spark, root), "doc_id", "ids", TOKENIZER)
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that hold 13 consecutive words of a held-out item, with the item."""
+    return leaked(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_item"), "item_id", "text")
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with characters that only look ordinary."""
+    return unify(table(spark, root, "documents"), "doc_id", "text", with_text=False).where("variants > 0 or mixed > 0").select("doc_id").distinct()
+
+
+def p10_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's text in one form."""
+    return unify(table(spark, root, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
+    "p8_ids": p8_ids,
+    "p8_decoded": p8_decoded,
+    "p9_found": p9_found,
+    "p10_found": p10_found,
+    "p10_texts": p10_texts,
+}
+ORACLE_SQL: dict[str, str] = {
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
-ORACLE_SQL: dict[str, str] = {}
