@@ -1,14 +1,15 @@
 """Near-duplicate texts: every pair at or above a similarity, by signature trees.
 
 Similarity of two texts is the Jaccard index of their sets of word runs (``words`` consecutive
-words). The result is exact; no pair is lost to hashing into buckets or to caps.
+words). Candidates are compared exactly, and nothing is capped.
 
 1. *Measure.* Each text gives a member row: the digest and size of its set and its token bitmap.
-   Texts with equal sets share a digest and are one node from here on. A count table of fixed
-   size tells common runs from rare ones.
-2. *Route.* Sets that reach the threshold share one of their rarest runs (the prefix filter), so
-   a text is sent to each of its rarest runs; texts that meet at a run form a list. Lists with
-   equal members are one list.
+   Texts with equal sets share a digest and are one node from here on.
+2. *Route.* The hash range of the runs is cut into m segments. Two sets that reach the threshold
+   differ in at most d runs, so segments without a difference remain: m is chosen for d (see
+   :func:`segments`) such that none remains with a chance below 1e-8. A text is sent to the
+   signature of each of its segments; about seven runs in one signature make chance meetings rare,
+   however large the corpus. Texts that meet form a list; lists with equal members are one list.
 3. *Traverse.* Each list is a signature tree: leaves are texts in order of size, inner nodes hold
    the OR of their bitmaps, the range of sizes and the least bit count. A traversal of pairs of
    nodes drops a pair as soon as the largest overlap its bitmaps allow is too small for its sizes.
@@ -20,8 +21,11 @@ words). The result is exact; no pair is lost to hashing into buckets or to caps.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +39,13 @@ from lawloom.plans.durable import cut
 
 WIDTH = 1024  # bits of a token bitmap
 LANES = WIDTH // 64
-SKETCH = 18  # log2 of the number of counters that order runs by frequency
-BLOCK = 14  # log2 of the counters in one row of the sketch
+BAND = 1.6  # ratio of the largest to the smallest set of a size band
+SPARE = 20.0  # expected segments without a difference at the threshold
 BATCH = 256  # texts that are split into words at once
 UNIT = 64  # texts of one side of a unit of verification
 FANOUT = 8
 
-MEMBER = "tbl string, key string, digest bigint, n int, bits array<bigint>, part int, counts binary"
+MEMBER = "tbl string, key string, digest bigint, n int, bits array<bigint>"
 
 
 def _texts(body: pa.Array, packed: pa.Array) -> list[str | None]:
@@ -80,15 +84,13 @@ def _bitmap(runs: np.ndarray) -> np.ndarray:
 
 def _measure(words: int, least_words: int):
     def run(batches):
-        counts = np.zeros(1 << SKETCH, np.int64)
         for batch, sets in _sets(batches, words, least_words):
             rows = [
-                (t, k, _digest(t, s), len(s), _bitmap(s), s)
+                (t, k, _digest(t, s), len(s), _bitmap(s))
                 for t, k, s in zip(batch.column("tbl").to_pylist(), batch.column("key").to_pylist(), sets)
                 if s is not None
             ]
             if rows:
-                counts += np.bincount((np.concatenate([r[5] for r in rows]) & np.uint64((1 << SKETCH) - 1)).astype(np.int64), minlength=1 << SKETCH)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.string()),
@@ -96,115 +98,116 @@ def _measure(words: int, least_words: int):
                         pa.array([r[2] for r in rows], pa.int64()),
                         pa.array([r[3] for r in rows], pa.int32()),
                         pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * LANES, np.concatenate([r[4] for r in rows])),
-                        pa.nulls(len(rows), pa.int32()),
-                        pa.nulls(len(rows), pa.binary()),
                     ],
-                    names=["tbl", "key", "digest", "n", "bits", "part", "counts"],
+                    names=["tbl", "key", "digest", "n", "bits"],
                 )
-        if counts.any():
-            blocks = [b.tobytes() for b in counts.astype(np.uint32).reshape(-1, 1 << BLOCK)]
-            many = len(blocks)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(many, pa.string()), pa.nulls(many, pa.string()), pa.nulls(many, pa.int64()), pa.nulls(many, pa.int32()), pa.nulls(many, pa.list_(pa.int64())), pa.array(range(many), pa.int32()), pa.array(blocks, pa.binary())],
-                names=["tbl", "key", "digest", "n", "bits", "part", "counts"],
-            )
 
     return run
 
 
-def _add_counts(table: pa.Table) -> pa.Table:
-    total = np.zeros(1 << BLOCK, np.uint64)
-    for c in table.column("counts"):
-        total += np.frombuffer(c.as_py(), np.uint32)
-    total = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+def band_of(n: int) -> int:
+    """The size band of a set: band k holds sizes above BAND ** k up to BAND ** (k + 1)."""
+    k = max(0, int(math.log(n) / math.log(BAND)))
+    while BAND ** (k + 1) < n:
+        k += 1
+    while k and BAND**k >= n:
+        k -= 1
+    return k
 
 
-def _sketch(measured: DataFrame) -> np.ndarray:
-    """The summed counters, 1 MB whatever the corpus: added up in two levels, so no task sees all."""
-    parts = measured.where("part is not null").select("part", "counts", F.pmod(F.spark_partition_id(), F.lit(256)).alias("branch"))
-    summed = parts.groupBy("part", "branch").applyInArrow(_add_counts, "part int, counts binary").groupBy("part").applyInArrow(_add_counts, "part int, counts binary")
-    counts = np.zeros(1 << SKETCH, np.uint32)
-    for row in summed.toLocalIterator():
-        counts[row.part << BLOCK : (row.part + 1) << BLOCK] = np.frombuffer(row.counts, np.uint32)
-    return counts
+@cache
+def segments(band: int, t: Fraction) -> int:
+    """Segments for sets of a band.
+
+    Sets of at most h runs each that reach t differ in d = 2 h (1 - t) / (1 + t) runs at most.
+    Of m segments, m exp(-d / m) are expected to hold no difference; the least m with SPARE of
+    them is taken. Small sets need less: with more than d segments in use, one is always left.
+    """
+    d = 2 * BAND ** (band + 1) * float((1 - t) / (1 + t))
+    m = 1
+    while m * math.exp(-d / m) < SPARE and m < 1.35 * d + 6:
+        m += 1
+    return m
 
 
-def _route(words: int, least_words: int, threshold: Fraction, sketch):
-    """(token, n, digest) for the rarest runs of each set; a repeated set only once a task."""
+def signatures(s: np.ndarray, tbl: str, t: Fraction) -> np.ndarray:
+    """One signature for each segment of the set that is not empty, in its own size band.
+
+    A set that can match a larger one of the next band has the signatures of that band too.
+    """
+    n, own, found = len(s), band_of(len(s)), []
+    for band in (own, own + 1) if n >= float(t) * BAND ** (own + 1) else (own,):
+        m = segments(band, t)
+        edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
+        begin = np.concatenate(([0], np.searchsorted(s, edges)))
+        used = np.flatnonzero(np.diff(np.append(begin, n)))
+        sums = np.add.reduceat(mix(s), begin[used])
+        found.append(mix(sums + used.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)) ^ _salt(tbl))
+    return np.concatenate(found)
+
+
+def _route(words: int, least_words: int, t: Fraction):
+    """(token, digest) for each signature of each set; a repeated set only once a task."""
 
     def run(batches):
-        counts, seen = sketch.value, set()
+        seen: set[int] = set()
         for batch, sets in _sets(batches, words, least_words):
-            tokens, sizes, digests = [], [], []
+            tokens, digests = [], []
             for tbl, s in zip(batch.column("tbl").to_pylist(), sets):
                 if s is None or (d := _digest(tbl, s)) in seen:
                     continue
                 seen.add(d)
-                n = len(s)
-                prefix = n - -(-threshold.numerator * n // threshold.denominator) + 1
-                rarest = np.argsort(counts[(s & np.uint64((1 << SKETCH) - 1)).astype(np.int64)], kind="stable")[:prefix]
-                tokens.append((s[rarest] ^ _salt(tbl)).view(np.int64))
-                sizes.append(np.full(len(rarest), n, np.int32))
-                digests.append(np.full(len(rarest), d, np.int64))
+                own = signatures(s, tbl, t)
+                tokens.append(own.view(np.int64))
+                digests.append(np.full(len(own), d, np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sizes, digests)], names=["token", "n", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, digests)], names=["token", "digest"])
 
     return run
 
 
 def _lists(run_limit: int):
-    """Runs of equal tokens in sorted rows: short ones as lists, rows of long ones as they are.
+    """Runs of equal tokens in rows sorted by token and digest: short ones as lists of distinct
+    members, rows of long ones as they are.
 
     Memory holds at most one batch and ``run_limit`` rows of the run that crosses its end.
     """
-    names = ["list", "digest", "token", "n"]
 
-    def out(lists, digests, tokens, sizes):
-        return pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(digests, pa.int64()), pa.array(tokens, pa.int64()), pa.array(sizes, pa.int32())], names=names)
+    def out(lists, digests, tokens):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) if x is not None else pa.nulls(len(digests), pa.int64()) for x in (lists, digests, tokens)], names=["list", "digest", "token"])
 
     def run(batches):
-        seen: set[int] = set()
-        tail = np.zeros((3, 0), np.int64)
+        seen = np.zeros(0, np.uint64)
+        tail = np.zeros((2, 0), np.int64)
         hot = None
-
-        def settle(rows):
-            start = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
-            size = np.diff(np.append(start, rows.shape[1]))
-            for a, k in zip(start[size > 1], size[size > 1]):
-                part = rows[:, a : a + k]
-                if rows[0, a] == hot or k > run_limit:
-                    yield out([None] * k, part[2], part[0], part[1])
-                    continue
-                members = np.unique(part[2])
-                if len(members) < 2:
-                    continue
-                name = int(mix(members.view(np.uint64)).sum(dtype=np.uint64).astype(np.int64))
-                if name not in seen:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(name)
-                    yield out([name] * len(members), members, [None] * len(members), [None] * len(members))
-            for a in start[size == 1]:
-                if rows[0, a] == hot:
-                    yield out([None], rows[2, a : a + 1], rows[0, a : a + 1], rows[1, a : a + 1])
-
-        for batch in batches:
-            rows = np.vstack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "n", "digest")])
+        for batch in chain(batches, [None]):
+            rows = tail if batch is None else np.hstack([tail, np.vstack([batch.column(c).to_numpy() for c in ("token", "digest")])])
             if not rows.shape[1]:
                 continue
-            rows = np.hstack([tail, rows])
-            last = int(np.searchsorted(rows[0], rows[0, -1]))
-            yield from settle(rows[:, :last]) if last else ()
+            again = np.concatenate(([False], (rows[:, 1:] == rows[:, :-1]).all(axis=0)))
+            rows = rows[:, ~again]
+            last = rows.shape[1] if batch is None else int(np.searchsorted(rows[0], rows[0, -1]))
+            whole, tail = rows[:, :last], rows[:, last:]
             if last:
+                start = np.flatnonzero(np.concatenate(([True], whole[0, 1:] != whole[0, :-1])))
+                size = np.diff(np.append(start, last))
+                long = (size > run_limit) | (whole[0, start] == hot if hot is not None else False)
+                for a, k in zip(start[long], size[long]):
+                    yield out(None, whole[1, a : a + k], whole[0, a : a + k])
+                short = (size > 1) & ~long
+                names = np.add.reduceat(mix(whole[1].view(np.uint64)), start)
+                names, pick = np.unique(names[short], return_index=True)
+                fresh = ~np.isin(names, seen)
+                seen = np.union1d(seen, names) if len(seen) < 1_000_000 else names
+                a, k = start[short][pick][fresh], size[short][pick][fresh]
+                if len(a):
+                    at = np.arange(k.sum()) + np.repeat(a - (np.cumsum(k) - k), k)
+                    yield out(np.repeat(names[fresh].view(np.int64), k), whole[1, at], None)
                 hot = None
-            tail = rows[:, last:]
             if tail.shape[1] > run_limit:
                 hot = tail[0, 0]
-                yield out([None] * tail.shape[1], tail[2], tail[0], tail[1])
+                yield out(None, tail[1], tail[0])
                 tail = tail[:, :0]
-        if tail.shape[1]:
-            yield from settle(tail)
 
     return run
 
@@ -214,31 +217,42 @@ def _needed(na: np.ndarray, nb: np.ndarray, t: Fraction) -> np.ndarray:
     return -(-(t.numerator * (na + nb)) // (t.numerator + t.denominator))
 
 
-def traverse(bits: np.ndarray, sizes: np.ndarray, side: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of the pairs that a dual traversal of the signature tree leaves.
+def _children(tree: np.ndarray) -> np.ndarray:
+    """Where the blocks of FANOUT neighbours of one tree begin, ``tree`` being sorted."""
+    first = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1])))
+    rank = np.arange(len(tree)) - np.repeat(first, np.diff(np.append(first, len(tree))))
+    return np.flatnonzero(rank % FANOUT == 0)
 
-    ``bits`` has one row of words a set. Pairs are of a set of side 1 with one of side 2, or of
-    any two sets where either has side 0.
+
+def traverse(tree: np.ndarray, bits: np.ndarray, sizes: np.ndarray, side: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of the pairs that a dual traversal of signature trees leaves.
+
+    ``tree`` names the tree of each set; all trees are built and traversed at once. ``bits`` has
+    one row of words a set. Pairs are of a set of side 1 with one of side 2, or of any two sets
+    where either has side 0.
     """
-    order = np.lexsort((bits[:, 0], sizes))
-    bits, sizes, where = bits[order].view(np.uint64), sizes[order].astype(np.int64), side[order]
+    order = np.lexsort((bits[:, 0], sizes, tree))
+    bits, sizes, where, tree = bits[order].view(np.uint64), sizes[order].astype(np.int64), side[order], tree[order]
     count = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-    levels = [(bits, sizes, sizes, count(bits))]
-    while len(levels[-1][0]) > 1:
+    levels, cuts = [(bits, sizes, sizes, count(bits))], []
+    while len(begin := _children(tree)) < len(tree):
         b, low, high, least = levels[-1]
-        cut_at = np.arange(0, len(b), FANOUT)
-        levels.append((np.bitwise_or.reduceat(b, cut_at), np.minimum.reduceat(low, cut_at), np.maximum.reduceat(high, cut_at), np.minimum.reduceat(least, cut_at)))
-    i = j = np.zeros(1, np.int64)
+        cuts.append(np.append(begin, len(tree)))
+        levels.append((np.bitwise_or.reduceat(b, begin), np.minimum.reduceat(low, begin), np.maximum.reduceat(high, begin), np.minimum.reduceat(least, begin)))
+        tree = tree[begin]
+    i = j = np.arange(len(tree))
     for depth in range(len(levels) - 1, -1, -1):
         b, low, high, least = levels[depth]
-        if depth < len(levels) - 1:
-            i = np.repeat(i, FANOUT) * FANOUT + np.tile(np.arange(FANOUT), len(i))
-            j = np.repeat(j, FANOUT)
-            i, j = np.repeat(i, FANOUT), np.repeat(j, FANOUT) * FANOUT + np.tile(np.arange(FANOUT), len(j))
-            keep = (i <= j) & (i < len(b)) & (j < len(b))
+        if depth < len(cuts):
+            step = np.arange(FANOUT)
+            k, m = (cuts[depth][i][:, None] + step).ravel(), np.repeat(j, FANOUT)
+            keep = k < np.repeat(cuts[depth][i + 1], FANOUT)
+            k, m = k[keep], m[keep]
+            i, j = np.repeat(k, FANOUT), (cuts[depth][m][:, None] + step).ravel()
+            keep = (j < np.repeat(cuts[depth][m + 1], FANOUT)) & (i <= j)
             i, j = i[keep], j[keep]
-        apart = low[j] * t.numerator > high[i] * t.denominator
-        i, j = i[~apart], j[~apart]
+        near = low[j] * t.numerator <= high[i] * t.denominator
+        i, j = i[near], j[near]
         common = count(b[i] & b[j])
         most = np.minimum(high[i] - np.maximum(0, least[i] - common), high[j] - np.maximum(0, least[j] - common))
         keep = most >= _needed(low[i], low[j], t)
@@ -248,22 +262,17 @@ def traverse(bits: np.ndarray, sizes: np.ndarray, side: np.ndarray, t: Fraction)
 
 
 def _groups(batches: Iterable[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
-    """Runs of equal ``name`` in sorted batches; a run is small by construction."""
+    """Tables that hold whole runs of equal ``name`` of sorted batches; a run is small."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         of = batch.column(name).to_numpy()
-        start = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), batch.num_rows]
-        for k, (a, b) in enumerate(zip(start[:-1], start[1:])):
-            part = batch.slice(a, b - a)
-            if k == 0 and rest and rest[-1].column(name)[0] != part.column(name)[0]:
-                yield pa.Table.from_batches(rest)
-                rest = []
-            elif k:
-                yield pa.Table.from_batches(rest)
-                rest = []
-            rest.append(part)
+        last = int(np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))[-1])
+        if last or (rest and rest[-1].column(name)[0].as_py() != of[0]):
+            yield pa.Table.from_batches([*rest, batch.slice(0, last)])
+            rest = []
+        rest.append(batch.slice(last))
     if rest:
         yield pa.Table.from_batches(rest)
 
@@ -271,13 +280,15 @@ def _groups(batches: Iterable[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
 def _traverse_lists(t: Fraction):
     def run(batches):
         for table in _groups(batches, "list"):
-            n = table.column("n").to_numpy()
+            table = table.combine_chunks()
+            if not table.num_rows:
+                continue
             digest = table.column("digest").to_numpy()
-            bits = table.column("bits").combine_chunks()
-            bits = (bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits).flatten().to_numpy().reshape(-1, LANES)
-            i, j = traverse(bits, n, table.column("side").to_numpy(), t)
-            a, b = np.minimum(digest[i], digest[j]), np.maximum(digest[i], digest[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            bits = table.column("bits").chunk(0).flatten().to_numpy().reshape(-1, LANES)
+            i, j = traverse(table.column("list").to_numpy(), bits, table.column("n").to_numpy(), table.column("side").to_numpy(), t)
+            pairs = np.unique(np.stack([np.minimum(digest[i], digest[j]), np.maximum(digest[i], digest[j])]), axis=1)
+            pairs = pairs[:, pairs[0] != pairs[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return run
 
@@ -286,7 +297,7 @@ def _hot_lists(hot: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
     """Leaf blocks of the hot runs, paired and pruned: rows (list, digest, side)."""
     step = 1.05
     far = int(np.ceil(np.log(float(1 / t)) / np.log(step)))
-    rows = hot.select("token", "digest", "n").distinct().withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(step)))).cast("int"))
+    rows = hot.select("token", "digest").distinct().join(nodes.select("digest", "n"), "digest").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(step)))).cast("int"))
     width = rows.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / UNIT).alias("leaves"))
     placed = cut(rows.join(width, ["token", "band"]).select("token", "band", F.pmod(F.xxhash64("digest"), "leaves").alias("leaf"), "digest"))
     signed = placed.join(nodes, "digest")
@@ -322,7 +333,8 @@ def _verify(words: int, t: Fraction):
             pairs = table.filter(pc.is_null(table.column("body")))
             for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
                 x, y = sets[a], sets[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                at = np.searchsorted(x, y)
+                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
                 if both * t.denominator >= (len(x) + len(y) - both) * t.numerator:
                     i.append(a)
                     j.append(b)
@@ -345,11 +357,10 @@ def near_duplicates(texts: DataFrame, *, threshold: float = 0.8, words: int = 5,
     t = Fraction(threshold).limit_denominator(10_000)
     source = texts.select("tbl", "key", "body", "packed").where("tbl is not null and key is not null and body is not null")
     measured = cut(source.mapInArrow(_measure(words, least_words), MEMBER))
-    members = measured.where("part is null").select("tbl", "key", "digest")
-    nodes = measured.where("part is null").select("digest", "n", "bits").dropDuplicates(["digest"])
-    sketch = texts.sparkSession.sparkContext.broadcast(_sketch(measured))
-    routed = source.mapInArrow(_route(words, least_words, t, sketch), "token bigint, n int, digest bigint")
-    met = cut(routed.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_lists(run_limit), "list bigint, digest bigint, token bigint, n int"))
+    members = measured.select("tbl", "key", "digest")
+    nodes = measured.select("digest", "n", "bits").dropDuplicates(["digest"])
+    routed = source.mapInArrow(_route(words, least_words, t), "token bigint, digest bigint")
+    met = cut(routed.repartition("token").sortWithinPartitions("token", "digest").mapInArrow(_lists(run_limit), "list bigint, digest bigint, token bigint"))
     lists = met.where("token is null").select("list", "digest", F.lit(0).alias("side"))
     hot = met.where("token is not null")
     if not hot.isEmpty():
