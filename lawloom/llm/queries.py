@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawloom.llm.garbling import repair
 from lawloom.llm.leakage import leaked
 from lawloom.llm.lookalikes import unify
 from lawloom.llm.near_duplicates import key_pairs, near_duplicates
@@ -17,6 +19,25 @@ from lawloom.sources.tables import table
 TOKENIZER = os.environ.get("LAWLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
+def _fields(spark: SparkSession, root: str) -> DataFrame:
+    """The fields that may hold garbled text."""
+    parts = [
+        table(spark, root, name).select(F.lit(name).alias("tbl"), F.col(key).cast("string").alias("key"), F.col("trans_uid").alias("source"), F.col(text).alias("text"))
+        for name, key, text in (("law_section", "id", "content_text"), ("bill_version", "bill_version_id", "title_text"), ("bill_history", "bill_history_id", "action"))
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Records whose field was read in another encoding than it was written in."""
+    return repair(_fields(spark, root)).select("tbl", F.col("key").alias("rec_key")).distinct()
+
+
+def p1_repaired(spark: SparkSession, root: str) -> DataFrame:
+    """The original text of those records, wherever nothing was lost."""
+    return repair(_fields(spark, root)).select("tbl", F.col("key").alias("rec_key"), "repaired", "lost").distinct()
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Prints of more than 8,000 characters: those that the splitter cuts into several pieces."""
     pieces = split_oversized(table(spark, root, "bill_version_text"), "bill_version_id", "text_zlib", packed=True, with_text=False)
@@ -66,6 +87,8 @@ def p10_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_repaired": p1_repaired,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
