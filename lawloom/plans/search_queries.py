@@ -75,7 +75,7 @@ def f6_snippet(spark: SparkSession, root: str) -> DataFrame:
     return best.join(words, "query").join(docs, "doc_id").select("query", "doc_id", snippet(F.col("text"), F.col("words")).alias("snippet"))
 
 
-_PHRASE = "list_contains(list_transform(range(1, len(terms)), i -> terms[i] || ' ' || terms[i + 1]), '{}')"
+_PHRASE = "list_contains(list_transform(range(1, len(terms)), lambda i: terms[i] || ' ' || terms[i + 1]), '{}')"
 QUERIES = {
     "f1_postings": f1_postings,
     "f3_phrase": _match('"shall record"'),
