@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lawloom.operators.search import bm25, corpus_size, matching, parse_match, postings, snippet, terms
+from lawloom.operators.search import bm25, corpus_size, matches_text, matching, parse_match, postings, snippet, spaced, terms
 from lawloom.sources.tables import table
 
 _LOW = "strip_accents(lower(text))"
@@ -40,13 +40,24 @@ SELECT query, doc_id, round(score, 6) AS score, rank FROM (
 
 def f1_postings(spark: SparkSession, root: str) -> DataFrame:
     """the postings table, as documents and occurrences of each term."""
-    return postings(_docs(spark, root), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("occurrences"))
+    return postings(_docs(spark, root), "doc_id", "text", with_positions=False).groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("occurrences"))
+
+
+def _best(docs: DataFrame, asked: DataFrame, **more) -> DataFrame:
+    posted = postings(docs, "doc_id", "text", with_positions=False)
+    return bm25(asked, "query", "term", posted, "doc_id", corpus_size(docs, "text"), 10, **more)
+
+
+def f3_postings(spark: SparkSession, root: str) -> DataFrame:
+    """A boolean expression over postings instead of texts."""
+    tree = parse_match("(agency OR dealer) AND shall NOT vehicle")
+    return matching(tree, postings(_docs(spark, root), "doc_id", "text"), "doc_id")
 
 
 def f4_bm25(spark: SparkSession, root: str) -> DataFrame:
     """the ten best documents of each asked query."""
     docs = _docs(spark, root)
-    best = bm25(_asked(docs), "query", "term", postings(docs, "doc_id", "text"), "doc_id", corpus_size(docs, "text"), 10)
+    best = _best(docs, _asked(docs))
     return best.select("query", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -55,13 +66,13 @@ def f5_filtered(spark: SparkSession, root: str) -> DataFrame:
     docs = _docs(spark, root)
     mine = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "source")
     allowed = mine.join(docs.select("doc_id", "source"), "source").select("query", "doc_id")
-    best = bm25(_asked(docs), "query", "term", postings(docs, "doc_id", "text"), "doc_id", corpus_size(docs, "text"), 10, allowed=allowed)
+    best = _best(docs, _asked(docs), allowed=allowed)
     return best.select("query", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def _match(expression: str):
     def run(spark: SparkSession, root: str) -> DataFrame:
-        return matching(parse_match(expression), postings(_docs(spark, root), "doc_id", "text"), "doc_id")
+        return _docs(spark, root).where(matches_text(parse_match(expression), spaced(F.col("text")))).select("doc_id")
 
     return run
 
@@ -70,7 +81,7 @@ def f6_snippet(spark: SparkSession, root: str) -> DataFrame:
     """snippets of the documents found by F4."""
     docs = _docs(spark, root)
     asked = _asked(docs)
-    best = bm25(asked, "query", "term", postings(docs, "doc_id", "text"), "doc_id", corpus_size(docs, "text"), 10)
+    best = _best(docs, asked)
     words = asked.groupBy("query").agg(F.array_sort(F.collect_list("term")).alias("words"))
     return best.join(words, "query").join(docs, "doc_id").select("query", "doc_id", snippet(F.col("text"), F.col("words")).alias("snippet"))
 
@@ -82,6 +93,7 @@ QUERIES = {
     "f3_near": _match("NEAR(agency dealer, 5)"),
     "f3_boolean": _match("(agency OR dealer) AND shall NOT vehicle"),
     "f3_prefix": _match("regist*"),
+    "f3_postings": f3_postings,
     "f4_bm25": f4_bm25,
     "f5_filtered": f5_filtered,
     "f6_snippet": f6_snippet,
@@ -91,6 +103,7 @@ ORACLE_SQL = {
     "f3_phrase": f"WITH {_BASE} SELECT doc_id FROM docs WHERE {_PHRASE.format('shall record')}",
     "f3_near": f"WITH {_BASE}, p AS (SELECT doc_id, term, pos FROM (SELECT doc_id, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM docs)) SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'agency' AND b.term = 'dealer' AND abs(a.pos - b.pos) - 1 <= 5",
     "f3_boolean": f"WITH {_BASE} SELECT doc_id FROM docs WHERE (list_contains(terms, 'agency') OR list_contains(terms, 'dealer')) AND list_contains(terms, 'shall') AND NOT list_contains(terms, 'vehicle')",
+    "f3_postings": f"WITH {_BASE} SELECT doc_id FROM docs WHERE (list_contains(terms, 'agency') OR list_contains(terms, 'dealer')) AND list_contains(terms, 'shall') AND NOT list_contains(terms, 'vehicle')",
     "f3_prefix": f"WITH {_BASE} SELECT DISTINCT doc_id FROM posted WHERE starts_with(term, 'regist')",
     "f4_bm25": f"WITH {_BASE} " + _SCORE.format(""),
     "f5_filtered": f"WITH {_BASE} " + _SCORE.format("JOIN docs x ON true JOIN docs y ON true WHERE x.doc_id = a.query AND y.doc_id = p.doc_id AND x.source = y.source"),
