@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 # What an escaped letter stands for; other characters stand for themselves.
 ESCAPES = {"0": "\x00", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
@@ -118,7 +118,7 @@ def load_table(spark: SparkSession, path: str, columns: list[str]) -> tuple[Data
     spark.dataSource.register(EscapedSource)
     if not (glob.glob(path) if any(c in path for c in "*?[") else os.path.exists(path)):
         warnings.warn(f"{path} is not there; its table is empty", stacklevel=2)
-        empty = spark.createDataFrame([], StructType([StructField(c, StringType()) for c in columns]).add("_file", "string").add("_row", "bigint"))
+        empty = spark.createDataFrame([], StructType([StructField(c, StringType()) for c in columns]).add("_file", StringType()).add("_row", LongType()))
         return empty, spark.createDataFrame([], "_file string, bad bigint")
     raw = spark.read.format("escaped").option("columns", ",".join(columns)).load(path)
     fits = F.col("_arity") == str(len(columns))
