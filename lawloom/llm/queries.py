@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawloom.llm.garbling import repair
+from lawloom.llm.groups import grouped
 from lawloom.llm.leakage import leaked
 from lawloom.llm.lookalikes import unify
 from lawloom.llm.near_duplicates import key_pairs, near_duplicates
@@ -61,6 +62,11 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return key_pairs(links, members)
 
 
+def p3_groups(spark: SparkSession, root: str) -> DataFrame:
+    """The group of every compared text, and how many different texts it is like."""
+    return grouped(*near_duplicates(_compared(spark, root), threshold=0.8, words=3, least_words=20))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document."""
     return encode(table(spark, root, "documents"), "doc_id", "text", TOKENIZER)
@@ -92,6 +98,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_found": p9_found,
