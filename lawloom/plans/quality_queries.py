@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lawloom.operators.limiter import limit_hits
 from lawloom.operators.quality import Check, era_notes, gate, metrics, not_worse
+from lawloom.operators.surveys import fixed_sample, freshest
 from lawloom.plans.relational_queries import a15_coverage
 from lawloom.sources.tables import table
 
@@ -67,7 +68,18 @@ def w1_limiter(spark: SparkSession, root: str) -> DataFrame:
     return limit_hits(events, "user_id", "ts", "event_id", window=21_600.0, limit=3).select("event_id", "allowed")
 
 
-QUERIES = {q.__name__: q for q in (q_gate, q13_not_worse, g12_coverage, g13_span, w1_limiter)}
+def x3_sample(spark: SparkSession, root: str) -> DataFrame:
+    """Ten documents of each kind, the same on each run."""
+    return fixed_sample(table(spark, root, "documents"), "doc_id", "kind", 10)
+
+
+def s14_freshest(spark: SparkSession, root: str) -> DataFrame:
+    """The blob delivered last, and whether it was so long before the first of 2030."""
+    rows = table(spark, root, "lob_manifest").select("lob_file", "delivered_at")
+    return freshest(rows.groupBy("delivered_at").agg(F.max("lob_file").alias("lob_file")), "lob_file", "delivered_at", F.lit("2030-01-01").cast("timestamp")).select("lob_file", "stale")
+
+
+QUERIES = {q.__name__: q for q in (q_gate, q13_not_worse, g12_coverage, g13_span, w1_limiter, x3_sample, s14_freshest)}
 
 _OPS = {">=": ">=", "<=": "<=", "=": "="}
 _VALUES = {
@@ -94,6 +106,8 @@ def _check_sql(c: Check) -> str:
 
 
 ORACLE_SQL = {
+    "x3_sample": "SELECT kind, doc_id FROM documents WHERE doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY kind ORDER BY md5('7' || doc_id), doc_id) <= 10",
+    "s14_freshest": "SELECT max(lob_file) AS lob_file, true AS stale FROM lob_manifest WHERE delivered_at = (SELECT max(delivered_at) FROM lob_manifest)",
     "q_gate": " UNION ALL ".join(map(_check_sql, CHECKS)),
     "q13_not_worse": "SELECT 'bill.rows' AS name, 'fail' AS level, n >= was * 0.98 AS ok, CAST(n AS DOUBLE) AS value, was * 0.98::DOUBLE AS needed FROM (SELECT count(*) AS n, count(*) FILTER (session_year < (SELECT max(session_year) FROM bill)) AS was FROM bill) UNION ALL SELECT 'bill.pointed', 'warn', false, CAST(count(latest_bill_version_id) AS DOUBLE), NULL FROM bill",
     "g12_coverage": "SELECT session_year, 'no chaptered bills' AS note FROM bill GROUP BY session_year HAVING count(chapter_num) = 0 UNION ALL SELECT session_year, 'no pointers' FROM bill GROUP BY session_year HAVING count(latest_bill_version_id) = 0",
