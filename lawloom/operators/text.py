@@ -5,7 +5,11 @@ All of them are narrow: a text is worked on where it lies. Errors of one row bec
 
 from __future__ import annotations
 
+import shutil
+import subprocess
+import tempfile
 from collections.abc import Callable, Iterable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -154,6 +158,45 @@ def extract_documents(df: DataFrame, key: str, body: str) -> DataFrame:
     return map_rows(df, {"key": df[key], "body": df[body]}, work, f"`{key}` {_kind(df, key)}, format string, text string, error string")
 
 
+def convert_documents(df: DataFrame, key: str, body: str, *, converter: str = "soffice", at_once: int = 50, seconds: int = 600) -> DataFrame:
+    """(key, text, error) of office files by an external converter on the executors.
+
+    One process takes ``at_once`` files, with a profile of its own, as starting it costs more than
+    a file. Where the program is absent, or a file does not convert, the row says so.
+    """
+
+    def start(program: str, folder: Path, bodies: list) -> str | None:
+        for k, data in enumerate(bodies):
+            (folder / f"{k}.doc").write_bytes(data or b"")
+        files = [str(folder / f"{k}.doc") for k, data in enumerate(bodies) if data is not None]
+        command = [program, "--headless", f"-env:UserInstallation=file://{folder}/profile", "--convert-to", "txt:Text", "--outdir", str(folder), *files]
+        try:
+            subprocess.run(command, capture_output=True, timeout=seconds, check=False)
+        except subprocess.TimeoutExpired:
+            return "the converter took too long"
+        return None
+
+    def run(batches):
+        program = shutil.which(converter)
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                bodies = part.column(1).to_pylist()
+                texts: list[str | None] = [None] * len(bodies)
+                error = None if program else "no converter here"
+                if program:
+                    with tempfile.TemporaryDirectory() as made:
+                        error = start(program, Path(made), bodies)
+                        for k in range(len(bodies)):
+                            if (out := Path(made, f"{k}.txt")).exists():
+                                texts[k] = out.read_text(errors="replace").strip()
+                errors = [None if t is not None else error or "not converted" for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=[key, "text", "error"])
+
+    chosen = df.select(df[key].alias("__key"), df[body].alias("__body"))
+    return chosen.mapInArrow(run, f"`{key}` {_kind(df, key)}, text string, error string")
+
+
 def flatten_bills(df: DataFrame, key: str, markup: str) -> DataFrame:
     """(key, title, text) of bills in markup; null markup gives nulls."""
 

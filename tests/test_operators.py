@@ -189,6 +189,17 @@ def test_text_operators(spark):
     assert X.parse_titles(titles.limit(0), "id", "title", book).count() == 0
 
 
+def test_converter(spark, tmp_path):
+    tool = tmp_path / "convert"
+    tool.write_text('#!/bin/sh\nshift 5\nout=$1\nshift\nfor f in "$@"; do case $(cat $f) in bad) ;; *) tr a-z A-Z < $f > $out/$(basename $f .doc).txt;; esac; done\n')
+    tool.chmod(0o755)
+    files = spark.createDataFrame([(1, b"word"), (2, b"bad"), (3, None)], "id int, body binary")
+    made = X.convert_documents(files, "id", "body", converter=str(tool))
+    assert {(r.id, r.text, r.error) for r in made.collect()} == {(1, "WORD", None), (2, None, "not converted"), (3, None, "not converted")}
+    absent = X.convert_documents(files, "id", "body", converter="no-such-program")
+    assert {r.error for r in absent.collect()} == {"no converter here"}
+
+
 # --- gate and limiter
 
 
