@@ -24,18 +24,33 @@ def allow(times: Iterable[float], window: float, limit: int, held: deque | None
     return out
 
 
-def limit_hits(hits: DataFrame, key: str, time: str, order: str, *, window: float = 60.0, limit: int = 120) -> DataFrame:
+def _spells(hits: DataFrame, key: str, order: str, window: float, slice_seconds: float) -> DataFrame:
+    """``hits`` (with ``__t``) and ``__spell``, the time at which a run of hits without a long pause began.
+
+    Time is cut into slices; only the last time and the last beginning of each slice are carried
+    to later ones, so no task sorts all hits of a busy key.
+    """
+    rows = hits.withColumn("__s", F.floor(F.col("__t") / slice_seconds))
+    inside = Window.partitionBy(key, "__s").orderBy("__t", order)
+    slices = Window.partitionBy(key).orderBy("__s")
+    ends = rows.groupBy(key, "__s").agg(F.max("__t").alias("__end")).select(key, "__s", F.lag("__end").over(slices).alias("__before"))
+    pause = F.col("__t") - F.coalesce(F.lag("__t").over(inside), F.col("__before"))
+    fresh = rows.join(ends, [key, "__s"]).withColumn("__new", F.when(F.coalesce(pause > window, F.lit(True)), F.col("__t"))).drop("__before")
+    begun = fresh.groupBy(key, "__s").agg(F.max("__new").alias("__last"))
+    begun = begun.select(key, "__s", F.max("__last").over(slices.rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    running = F.max("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return fresh.join(begun, [key, "__s"]).withColumn("__spell", F.coalesce(running, F.col("__carried"))).drop("__new", "__carried", "__s")
+
+
+def limit_hits(hits: DataFrame, key: str, time: str, order: str, *, window: float = 60.0, limit: int = 120, slice_seconds: float = 86_400.0) -> DataFrame:
     """``hits`` with ``allowed``; ties in ``time`` are taken by ``order``.
 
     A denial changes what later hits meet, so hits are folded in order. After a pause of more than
     the window nothing is remembered; hits are therefore cut at such pauses, and a busy key becomes
     many independent groups. Rows with a null key or time are denied.
     """
-    seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
-    known = hits.withColumn("__t", seconds)
-    by = Window.partitionBy(key).orderBy("__t", order)
-    fresh = F.coalesce(F.col("__t") - F.lag("__t").over(by) > window, F.lit(True))
-    grouped = known.where(F.col(key).isNotNull() & F.col("__t").isNotNull()).withColumn("__new", fresh.cast("int")).withColumn("__spell", F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    known = hits.withColumn("__t", F.unix_micros(F.col(time).cast("timestamp")) / 1e6)
+    grouped = _spells(known.where(F.col(key).isNotNull() & F.col("__t").isNotNull()), key, order, window, slice_seconds)
     names = hits.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema) + ", allowed boolean"
 

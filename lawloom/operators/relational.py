@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def last_write(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key by ``order`` (ascending); the order should be total."""
-    recent = Window.partitionBy(*keys).orderBy(*[o.desc() for o in order])
-    return df.withColumn("__n", F.row_number().over(recent)).where("__n = 1").drop("__n")
+    """The last row of each key by ``order`` (ascending, nulls first), ties by the other columns.
+
+    It is an aggregate, so rows of a hot key are reduced before they move; columns must be orderable.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    last = F.max(F.struct(*[o.alias(f"o{n}") for n, o in enumerate(order)], F.struct(*rest).alias("row"))).alias("__last")
+    return df.groupBy(*keys).agg(last).select(*keys, "__last.row.*").select(*df.columns)
 
 
 def first_store(stores: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Rows of the first store that knows a key; ``store`` is its number from 0.
+    """Rows of the first store that knows a key; ``store`` is its number from 0. Null keys are one key.
 
-    The stores' rows move once; the decision is one minimum a key.
+    The decision is one minimum a key, which is joined back.
     """
-    rows = None
-    for n, store in enumerate(stores):
-        part = store.withColumn("store", F.lit(n))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.withColumn("__best", F.min("store").over(Window.partitionBy(*keys))).where("store = __best").drop("__best")
+    rows = reduce(DataFrame.unionByName, [store.withColumn("store", F.lit(n)) for n, store in enumerate(stores)])
+    best = rows.groupBy(*keys).agg(F.min("store").alias("__best")).select("__best", *[F.col(k).alias(f"__{k}") for k in keys])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return rows.join(best, same & (F.col("store") == F.col("__best")), "left_semi")
 
 
 def flagged(df: DataFrame, keys: list[str], present: DataFrame, flag: str) -> DataFrame:

@@ -172,7 +172,7 @@ class Tools:
             article = key.split(",")[0]
             hits = hits.unionByName(named.where(F.col("section") == article).select("code", F.lit(key).alias("key"), "ref_id", F.lit("whole_article").alias("kind")))
         rows = _rows(hits.select("ref_id", "kind").join(refs.dropDuplicates(["ref_id"]), "ref_id").join(latest.drop("trans_update", "session_year", "bill_version_id", "active_flg", "trans_uid"), "bill_id").orderBy("ref_id"))
-        analyses = {r.bill_id: r.d for r in _rows(self.c.now("bill_analysis").groupBy("bill_id").agg(F.max("analysis_date").alias("d")))} if rows else {}
+        analyses = {r.bill_id: r.d for r in _rows(self.c.now("bill_analysis").where(F.col("bill_id").isin([r.bill_id for r in rows])).groupBy("bill_id").agg(F.max("analysis_date").alias("d")))} if rows else {}
         subjects = {r.bill_version_id: r.subject for r in _rows(self.c.now("bill_version").where(F.col("bill_version_id").isin([r.latest_bill_version_id for r in rows])).select("bill_version_id", "subject"))} if rows else {}
         bills: dict[str, dict] = {}
         for r in rows:
