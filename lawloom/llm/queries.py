@@ -105,6 +105,12 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_texts": p10_texts,
 }
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_RUNS = "SELECT DISTINCT {key}, array_to_string(words[i:i + 12], ' ') AS run FROM (SELECT {key}, words, unnest(range(1, len(words) - 11)) AS i FROM (SELECT {key}, " + _WORDS + " AS words FROM {table}))"
+_CASES = "[\\x{FF01}-\\x{FF5E}\\x{0300}-\\x{036F}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{00AD}\\x{00A0}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]"
+_MIXED = "\\p{Latin}\\p{L}*[\\p{Greek}\\p{Cyrillic}]|[\\p{Greek}\\p{Cyrillic}]\\p{L}*\\p{Latin}"
 ORACLE_SQL: dict[str, str] = {
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_found": f"SELECT DISTINCT d.doc_id, e.item_id FROM ({_RUNS.replace('{key}', 'doc_id').replace('{table}', 'documents')}) d JOIN ({_RUNS.replace('{key}', 'item_id').replace('{table}', 'eval_item')}) e USING (run)",
+    "p10_found": f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{_CASES}|{_MIXED}')",
 }
