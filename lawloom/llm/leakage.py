@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from lawloom.functions.textvec import split_words
 
 BATCH = 512
-TABLE_BITS = 16
+TABLE_BITS = (16, 24)  # least and most
 
 
 class Patterns(NamedTuple):
@@ -35,6 +35,7 @@ class Patterns(NamedTuple):
 
     words: pa.Array
     runs: np.ndarray
+    bits: int
     shift: np.ndarray
     bucket: np.ndarray
     order: np.ndarray
@@ -42,9 +43,9 @@ class Patterns(NamedTuple):
     item_at: np.ndarray
 
 
-def _block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Block of two neighbouring word ids."""
-    return ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def _block(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Block of two neighbouring word ids, in a table of 2 ** bits."""
+    return ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def compile_patterns(items: list[tuple[int, str]], run: int) -> Patterns | None:
@@ -61,12 +62,13 @@ def compile_patterns(items: list[tuple[int, str]], run: int) -> Patterns | None:
     runs, which = np.unique(np.concatenate(windows), axis=0, return_inverse=True)
     pairs = np.unique(np.stack([which.reshape(-1), np.concatenate(owners)]), axis=1)
     item_at = np.searchsorted(pairs[0], np.arange(len(runs) + 1))
-    shift = np.full(1 << TABLE_BITS, run - 1, np.int64)
+    bits = min(max(TABLE_BITS[0], (8 * len(runs)).bit_length()), TABLE_BITS[1])  # grows with the patterns, so that most blocks end none
+    shift = np.full(1 << bits, run - 1, np.int64)
     for end in range(1, run):  # block of words end - 1 and end; the later one wins
-        shift[_block(runs[:, end - 1], runs[:, end])] = run - 1 - end
-    last = _block(runs[:, -2], runs[:, -1])
+        shift[_block(runs[:, end - 1], runs[:, end], bits)] = run - 1 - end
+    last = _block(runs[:, -2], runs[:, -1], bits)
     order = np.argsort(last, kind="stable")
-    return Patterns(split.vocabulary, runs, shift, np.searchsorted(last[order], np.arange((1 << TABLE_BITS) + 1)), order, pairs[1], item_at)
+    return Patterns(split.vocabulary, runs, bits, shift, np.searchsorted(last[order], np.arange((1 << bits) + 1)), order, pairs[1], item_at)
 
 
 def search(texts: list[str | None], p: Patterns) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +83,7 @@ def search(texts: list[str | None], p: Patterns) -> tuple[np.ndarray, np.ndarray
     alive = at < end
     doc, at, end = doc[alive], at[alive], end[alive]
     while len(at):
-        block = _block(ids[at - 1], ids[at])
+        block = _block(ids[at - 1], ids[at], p.bits)
         move = p.shift[block]
         stop = np.flatnonzero(move == 0)
         if len(stop):
