@@ -28,7 +28,7 @@ def _differing(nodes: DataFrame, pairs: DataFrame, parents: DataFrame | None) ->
     """(prev, cur, bucket) of the nodes that differ between neighbours, below differing parents."""
     sides = []
     for side in ("prev", "cur"):
-        own = nodes.join(pairs, nodes["snap"] == pairs[side]).select("prev", "cur", "bucket", "x", "y", F.lit(side).alias("side"))
+        own = nodes.join(pairs.withColumn("snap", F.col(side)), "snap").select("prev", "cur", "bucket", "x", "y", F.lit(side).alias("side"))
         if parents is not None:
             own = own.withColumn("parent", F.shiftright("bucket", FANOUT_BITS)).join(parents.withColumnRenamed("bucket", "parent"), ["prev", "cur", "parent"], "left_semi").drop("parent")
         sides.append(own)
@@ -62,17 +62,17 @@ def snapshot_changes(df: DataFrame, snapshot: str, key: str, loaded: str, compar
     latest = latest.withColumn("bucket", F.shiftrightunsigned("h", 64 - FANOUT_BITS * depth))
 
     snaps = latest.select("snap").distinct()  # one row a delivery
-    pairs = snaps.select(F.lag("snap").over(Window.orderBy("snap")).alias("prev"), F.col("snap").alias("cur")).where("prev is not null")
+    pairs = cut(snaps.select(F.lag("snap").over(Window.orderBy("snap")).alias("prev"), F.col("snap").alias("cur")).where("prev is not null"))
     levels = [cut(latest.groupBy("snap", "bucket").agg(*_combined(F.col("key"), F.col("digest"))))]
     for _ in range(depth):
         below = levels[-1].withColumn("parent", F.shiftright("bucket", FANOUT_BITS))
-        levels.append(below.groupBy("snap", "parent").agg(*_combined(F.col("bucket"), F.col("x"), F.col("y"))).withColumnRenamed("parent", "bucket"))
+        levels.append(cut(below.groupBy("snap", "parent").agg(*_combined(F.col("bucket"), F.col("x"), F.col("y"))).withColumnRenamed("parent", "bucket")))
     differ = None
     for nodes in reversed(levels):
-        differ = _differing(nodes, pairs, differ)
+        differ = cut(_differing(nodes, pairs, differ))  # each level's plan is small, however deep the tree
 
     sides = [
-        latest.join(differ, (latest["snap"] == differ[side]) & (latest["bucket"] == differ["bucket"])).select("prev", "cur", "key", "digest", F.lit(side).alias("side"))
+        latest.join(differ.withColumn("snap", F.col(side)), ["snap", "bucket"]).select("prev", "cur", "key", "digest", F.lit(side).alias("side"))
         for side in ("prev", "cur")
     ]
     of = lambda s: F.max(F.when(F.col("side") == s, F.col("digest"))).alias(s + "_digest")
