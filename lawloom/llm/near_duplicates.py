@@ -44,6 +44,7 @@ SPARE = 20.0  # expected segments without a difference at the threshold
 BATCH = 256  # texts that are split into words at once
 UNIT = 64  # texts of one side of a unit of verification
 FANOUT = 8
+FEW = 200_000  # keys of texts to verify, about 100 bytes each, that may be broadcast
 
 MEMBER = "tbl string, key string, digest bigint, n int, bits array<bigint>"
 
@@ -376,7 +377,10 @@ def near_duplicates(texts: DataFrame, *, threshold: float = 0.8, words: int = 5,
     pairs = cut(placed.select(F.xxhash64(F.least("sa", "sb"), F.greatest("sa", "sb")).alias("unit"), "a", "b"))
     wanted = pairs.select("unit", F.explode(F.array("a", "b")).alias("digest")).distinct()
     one = members.groupBy("digest").agg(F.min(F.struct("tbl", "key")).alias("m")).select("digest", "m.tbl", "m.key")
-    bodies = wanted.join(one, "digest").join(source, ["tbl", "key"])
+    asked = cut(wanted.join(one, "digest"))
+    if asked.count() <= FEW:
+        asked = F.broadcast(asked)  # else all bodies are shuffled once to meet the asked keys
+    bodies = source.join(asked, ["tbl", "key"])
     rows = bodies.select("unit", F.col("digest").alias("a"), F.lit(None).cast("bigint").alias("b"), "body", "packed", "tbl").unionByName(
         pairs.select("unit", "a", "b", F.lit(None).cast("binary").alias("body"), F.lit(False).alias("packed"), F.lit(None).cast("string").alias("tbl"))
     )
