@@ -60,9 +60,11 @@ def _archive(spark, args) -> int:
 
 
 def _sanity(spark, args) -> int:
-    from lawloom.plans.quality_queries import q_gate
+    from pyspark.sql import functions as F
 
-    rows = q_gate(spark, args.tables).collect()
+    from lawloom.plans.survey_gate import survey_gate
+
+    rows = survey_gate(spark, args.tables, F.current_timestamp()).collect()
     print(json.dumps([r.asDict() for r in rows], sort_keys=True))
     return int(any(r.level == "fail" and not r.ok for r in rows))
 
