@@ -9,7 +9,7 @@ from lawloom.operators.limiter import limit_hits
 from lawloom.operators.quality import Check, era_notes, gate, metrics, not_worse
 from lawloom.operators.surveys import fixed_sample, freshest
 from lawloom.plans.relational_queries import a15_coverage
-from lawloom.plans.survey_gate import survey_gate
+from lawloom.plans.survey_gate import read_all, regression, survey_gate
 from lawloom.sources.tables import table
 
 CHECKS = [
@@ -50,7 +50,7 @@ def q_gate_survey(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q13_not_worse(spark: SparkSession, root: str) -> DataFrame:
-    """Q13: metrics against those of a version before, here without the rows of the last session."""
+    """Metrics of bills against those of a version before, here without the rows of the last session; `q13_tables` is the whole of Q13."""
     last = table(spark, root, "bill").agg(F.max("session_year").alias("s")).first().s
     n = F.count(F.lit(1))
     now = metrics({"bill": table(spark, root, "bill")}, {"bill": {"rows": n, "pointed": F.count("latest_bill_version_id")}})
@@ -58,6 +58,17 @@ def q13_not_worse(spark: SparkSession, root: str) -> DataFrame:
     return not_worse(now, before)
 
 
+def q13_tables(spark: SparkSession, root: str) -> DataFrame:
+    """Q13: all tables and extract dates against those of a version before, here without the rows of the last session."""
+    tables = read_all(spark, root)
+    last = tables["bill"].agg(F.max("session_year").alias("s")).first().s
+    former = {
+        "law_section": F.date_format("trans_update", "yyyy") < last[:4], "bill": F.col("session_year") < last, "bill_section_ref": F.col("session_year") < last,
+        "bill_version": F.col("bill_id") < last, "bill_history": F.col("bill_id") < last, "bill_version_text": F.col("bill_version_id") < last[:4],
+    }
+    return regression(spark, tables, {t: df.where(former[t]) if t in former else df for t, df in tables.items()})
+
+
 def g12_coverage(spark: SparkSession, root: str) -> DataFrame:
     """Notes on what sessions lack."""
     return era_notes(a15_coverage(spark, root), [("chaptered", "no chaptered bills"), ("pointed", "no pointers")])
@@ -85,7 +96,7 @@ def s14_freshest(spark: SparkSession, root: str) -> DataFrame:
     return freshest(rows.groupBy("delivered_at").agg(F.max("lob_file").alias("lob_file")), "lob_file", "delivered_at", F.lit("2030-01-01").cast("timestamp")).select("lob_file", "stale")
 
 
-QUERIES = {q.__name__: q for q in (q_gate, q_gate_survey, q13_not_worse, g12_coverage, g13_span, w1_limiter, x3_sample, s14_freshest)}
+QUERIES = {q.__name__: q for q in (q_gate, q_gate_survey, q13_not_worse, q13_tables, g12_coverage, g13_span, w1_limiter, x3_sample, s14_freshest)}
 
 _OPS = {">=": ">=", "<=": "<=", "=": "="}
 _VALUES = {
@@ -116,6 +127,20 @@ ORACLE_SQL = {
     "s14_freshest": "SELECT max(lob_file) AS lob_file, true AS stale FROM lob_manifest WHERE delivered_at = (SELECT max(delivered_at) FROM lob_manifest)",
     "q_gate": " UNION ALL ".join(map(_check_sql, CHECKS)),
     "q13_not_worse": "SELECT 'bill.rows' AS name, 'fail' AS level, n >= was * 0.98 AS ok, CAST(n AS DOUBLE) AS value, was * 0.98::DOUBLE AS needed FROM (SELECT count(*) AS n, count(*) FILTER (session_year < (SELECT max(session_year) FROM bill)) AS was FROM bill) UNION ALL SELECT 'bill.pointed', 'warn', false, CAST(count(latest_bill_version_id) AS DOUBLE), NULL FROM bill",
+    "q13_tables": " UNION ALL ".join(
+        [
+            *(
+                f"SELECT '{t}.rows' AS name, 'fail' AS level, n >= was * 0.98 AS ok, CAST(n AS DOUBLE) AS value, was * 0.98::DOUBLE AS needed FROM (SELECT count(DISTINCT {key}) AS n, count(DISTINCT {key}) FILTER ({former}) AS was FROM {t}, (SELECT max(session_year) AS last FROM bill))"
+                for t, key, former in (
+                    ("law_section", "id", "year(trans_update) < CAST(left(last, 4) AS INT)"), ("bill", "bill_id", "session_year < last"), ("bill_version", "bill_version_id", "left(bill_id, 8) < last"),
+                    ("bill_version_text", "bill_version_id", "left(bill_version_id, 4) < left(last, 4)"), ("bill_history", "(bill_id, bill_history_id)", "left(bill_id, 8) < last"), ("bill_section_ref", "ref_id", "session_year < last"),
+                )
+            ),
+            "SELECT 'bill_analysis.rows', 'warn', false, -1::DOUBLE, NULL",
+            "SELECT 'law_extract.date', 'fail', n >= was, n, was FROM (SELECT floor(epoch(max(trans_update))) AS n, floor(epoch(max(trans_update) FILTER (year(trans_update) < CAST(left(last, 4) AS INT)))) AS was FROM law_section, (SELECT max(session_year) AS last FROM bill))",
+            "SELECT 'bill_extract.date', 'fail', n >= was, n, was FROM (SELECT floor(epoch(max(trans_update))) AS n, floor(epoch(max(trans_update) FILTER (session < last))) AS was FROM (SELECT trans_update, session_year AS session FROM bill UNION ALL SELECT trans_update, left(bill_id, 8) FROM bill_version UNION ALL SELECT trans_update, left(bill_id, 8) FROM bill_history), (SELECT max(session_year) AS last FROM bill))",
+        ]
+    ),
     "g12_coverage": "SELECT session_year, 'no chaptered bills' AS note FROM bill GROUP BY session_year HAVING count(chapter_num) = 0 UNION ALL SELECT session_year, 'no pointers' FROM bill GROUP BY session_year HAVING count(latest_bill_version_id) = 0",
     "g13_span": "SELECT min(session_year) AS first, max(session_year) AS last FROM bill",
 }

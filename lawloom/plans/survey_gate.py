@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawloom.functions.citations import CodeBook
-from lawloom.operators.quality import Check, gate, metrics
+from lawloom.operators.quality import Check, gate, metrics, not_worse
 from lawloom.operators.search import corpus_size, matching, parse_match, postings
 from lawloom.operators.text import parse_titles
 from lawloom.sources.tables import table
@@ -143,3 +143,31 @@ def survey_metrics(tables: dict[str, DataFrame], now: Column, *, spots=SPOTS, pr
 def survey_gate(spark: SparkSession, root: str, now: Column) -> DataFrame:
     """(name, level, ok, value, needed) of all checks over the tables below ``root``."""
     return gate(spark, survey_metrics(read_all(spark, root), now), survey_checks())
+
+
+#: Tables whose rows are held against those of the version before.
+KEPT = ("law_section", "bill", "bill_version", "bill_version_text", "bill_history", "bill_analysis", "bill_section_ref")
+
+
+def state(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """(tbl, metric, value): rows of each kept table that is there, and the extract dates."""
+    empty = spark.createDataFrame([], "tbl string, metric string, value double")
+    parts = [metrics({t: tables[t]}, {t: {"rows": row_count(tables[t], t)}}) for t in KEPT if t in tables]
+    return reduce(DataFrame.unionByName, [*parts, *extract_dates(tables)], empty)
+
+
+def regression(spark: SparkSession, tables: dict[str, DataFrame], previous: dict[str, DataFrame], *, share: float = 0.98) -> DataFrame:
+    """(name, level, ok, value, needed): Q13, tables against those of the version before.
+
+    A table that was there and is not now has -1 rows and fails; one that was not there before is
+    a warning. Extract dates, in seconds, may not be older; one that is missing counts as 0.
+    ``previous`` without any table is a version that cannot be read, which fails.
+    """
+    if not previous:
+        return spark.createDataFrame([("previous.readable", "fail", False, None, None)], "name string, level string, ok boolean, value double, needed double")
+    wanted = spark.createDataFrame([*((t, "rows", -1.0) for t in KEPT), *((t, "date", 0.0) for t in EXTRACTS)], "tbl string, metric string, absent double")
+    now, before = (wanted.join(state(spark, x), ["tbl", "metric"], "left") for x in (tables, previous))
+    now = now.select("tbl", "metric", F.coalesce("value", "absent").alias("value"))
+    rows = not_worse(now.where("metric = 'rows'"), before.where("metric = 'rows'"), share)
+    dates = before.where("metric = 'date'").select("tbl", "metric", F.coalesce("value", "absent").alias("value"))
+    return rows.unionByName(not_worse(now.where("metric = 'date'"), dates, 1.0))

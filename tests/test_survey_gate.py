@@ -6,7 +6,8 @@ import zlib
 from pyspark.sql import functions as F
 
 from lawloom.operators.quality import gate
-from lawloom.plans.survey_gate import REQUIRED, survey_checks, survey_metrics
+from lawloom.plans.quality_queries import ORACLE_SQL, q13_tables
+from lawloom.plans.survey_gate import REQUIRED, regression, survey_checks, survey_metrics
 
 AT = datetime.datetime(2029, 12, 20, 12)
 
@@ -60,3 +61,29 @@ def test_each_check_can_fail(spark):
     held = {name for name, r in got.items() if r.ok}
     assert held == {"Q2 law_section rows", "Q2 bill rows", "Q2 bill_version rows", "Q2 bill_history rows", "Q2 codes at least", "Q2 codes at most", "Q11 search rows"}
     assert got["Q8 version texts"].value == 0 and got["Q8 version texts"].needed == 0.99 * 3
+
+
+def _compared(spark, now, previous):
+    return {r.name: (r.level, r.ok) for r in regression(spark, now, previous).collect()}
+
+
+def test_regression(spark):
+    whole = _tables(spark, meta=None)
+    same = _compared(spark, whole, whole)
+    assert len(same) == 9 and set(same.values()) == {("fail", True)}
+    earlier = AT - datetime.timedelta(days=1)
+    worse = _tables(spark, meta=None, law_section=[("1", "PEN", "187", "x", earlier)], bill_version_text=None, bill_history=[])
+    got = _compared(spark, worse, whole)
+    assert {name for name, (level, ok) in got.items() if not ok} == {"law_section.rows", "law_extract.date", "bill_version_text.rows", "bill_history.rows"}
+    assert _compared(spark, whole, worse)["bill_version_text.rows"] == ("warn", False)
+    assert _compared(spark, whole, {}) == {"previous.readable": ("fail", False)}
+
+
+def test_regression_agrees_with_sql(spark, data):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("law_section", "bill", "bill_version", "bill_version_text", "bill_history", "bill_section_ref"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    want = con.execute(f"SELECT name, level, ok, value, needed FROM ({ORACLE_SQL['q13_tables']}) ORDER BY name").fetchall()
+    assert sorted(map(tuple, q13_tables(spark, data).collect())) == want
