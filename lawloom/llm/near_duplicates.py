@@ -7,9 +7,12 @@ words). Candidates are compared exactly, and nothing is capped.
    Texts with equal sets share a digest and are one node from here on.
 2. *Route.* The hash range of the runs is cut into m segments. Two sets that reach the threshold
    differ in at most d runs, so segments without a difference remain: m is chosen for d (see
-   :func:`segments`) such that none remains with a chance below 1e-8. A text is sent to the
+   :func:`segments`) such that none remains with a chance below 1e-8 at thresholds from 0.8 (for
+   sets of more than SMALL runs; up to 5e-8 at 0.7). A text is sent to the
    signature of each of its segments; about seven runs in one signature make chance meetings rare,
-   however large the corpus. Texts that meet form a list; lists with equal members are one list.
+   however large the corpus. Sets of at most SMALL runs are routed exactly instead: of n runs the
+   first n - ceil(t n) + 1 by hash are tokens, of which two sets that reach t share one. Texts
+   that meet form a list; lists with equal members are one list.
 3. *Traverse.* Each list is a signature tree: leaves are texts in order of size, inner nodes hold
    the OR of their bitmaps, the range of sizes and the least bit count. A traversal of pairs of
    nodes drops a pair as soon as the largest overlap its bitmaps allow is too small for its sizes.
@@ -44,6 +47,7 @@ SPARE = 20.0  # expected segments without a difference at the threshold
 BATCH = 256  # texts that are split into words at once
 UNIT = 64  # texts of one side of a unit of verification
 FANOUT = 8
+SMALL = 16  # runs of a set that is routed exactly, as all its segments may hold a difference
 FEW = 200_000  # keys of texts to verify, about 100 bytes each, that may be broadcast
 
 MEMBER = "tbl string, key string, digest bigint, n int, bits array<bigint>"
@@ -123,6 +127,7 @@ def segments(band: int, t: Fraction) -> int:
     Sets of at most h runs each that reach t differ in d = 2 h (1 - t) / (1 + t) runs at most.
     Of m segments, m exp(-d / m) are expected to hold no difference; the least m with SPARE of
     them is taken. Small sets need less: with more than d segments in use, one is always left.
+    Fewer may be in use, so sets of at most SMALL runs do not rely on it.
     """
     d = 2 * BAND ** (band + 1) * float((1 - t) / (1 + t))
     m = 1
@@ -134,9 +139,14 @@ def segments(band: int, t: Fraction) -> int:
 def signatures(s: np.ndarray, tbl: str, t: Fraction) -> np.ndarray:
     """One signature for each segment of the set that is not empty, in its own size band.
 
-    A set that can match a larger one of the next band has the signatures of that band too.
+    A set that can match a larger one of the next band has the signatures of that band too. A set
+    of at most SMALL runs has single runs instead, and one that can match such a set has both.
     """
     n, own, found = len(s), band_of(len(s)), []
+    if n * t.numerator <= SMALL * t.denominator:
+        found.append(mix(s[: n + 1 + (-t.numerator * n) // t.denominator] ^ np.uint64(0x9E3779B97F4A7C15)) ^ _salt(tbl))
+    if n <= SMALL:
+        return found[0]
     for band in (own, own + 1) if n >= float(t) * BAND ** (own + 1) else (own,):
         m = segments(band, t)
         edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)

@@ -67,3 +67,11 @@ def test_traversal_keeps_what_can_match():
     assert all((a < 25) == (b < 25) for a, b in zip(i, j))
     i, j = traverse(np.zeros(50, int), bits, sizes, np.zeros(50, int), Fraction(4, 5))
     assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} >= {(k, k + 25) for k in range(25)}
+
+
+def test_small_sets_always_meet():
+    rng = np.random.default_rng(5)
+    t = Fraction(4, 5)
+    for a, b in ((4, 5), (5, 6), (8, 10), (16, 17), (16, 20)):
+        for runs in rng.integers(0, 2**64, size=(20_000, b), dtype=np.uint64):
+            assert set(signatures(np.sort(runs[:a]), "a", t).tolist()) & set(signatures(np.sort(runs), "a", t).tolist())
