@@ -339,7 +339,9 @@ def _verify(words: int, t: Fraction):
             docs = table.filter(pc.is_valid(table.column("body")))
             sets = {}
             for batch, found in _sets(docs.to_batches(), words, 0):
-                sets.update(zip(batch.column("a").to_pylist(), found))
+                for a, tbl, s in zip(batch.column("a").to_pylist(), batch.column("tbl").to_pylist(), found):
+                    if s is not None and _digest(tbl, s) == a:  # a key may have other texts
+                        sets[a] = s
             i, j = [], []
             pairs = table.filter(pc.is_null(table.column("body")))
             for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
@@ -363,7 +365,7 @@ def near_duplicates(texts: DataFrame, *, threshold: float = 0.8, words: int = 5,
     Returns ``(links, members)``: links (a, b), a < b, between digests of distinct sets, and
     members (tbl, key, digest). Texts of one digest are copies for this similarity. Nulls, blobs
     that do not unpack and texts of fewer than ``least_words`` or ``words`` words have no row;
-    rows given twice count once; empty input gives empty results. Digests have 64 bits.
+    rows given twice count once; each text of a key with several is compared; empty input gives empty results. Digests have 64 bits.
     """
     t = Fraction(threshold).limit_denominator(10_000)
     source = texts.select("tbl", "key", "body", "packed").where("tbl is not null and key is not null and body is not null")

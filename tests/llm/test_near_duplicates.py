@@ -75,3 +75,12 @@ def test_small_sets_always_meet():
     for a, b in ((4, 5), (5, 6), (8, 10), (16, 17), (16, 20)):
         for runs in rng.integers(0, 2**64, size=(20_000, b), dtype=np.uint64):
             assert set(signatures(np.sort(runs[:a]), "a", t).tolist()) & set(signatures(np.sort(runs), "a", t).tolist())
+
+
+@pytest.mark.parametrize("other", ["x y", " ".join(f"o{k}" for k in range(90))])
+def test_key_with_two_texts(spark, other):
+    one = " ".join(f"w{k}" for k in range(90))
+    for texts in ((one, other), (other, one)):
+        rows = [("t", "a", body.encode(), False, 1) for body in texts] + [("t", "b", (one + " end").encode(), False, 1)]
+        links, members = near_duplicates(spark.createDataFrame(rows, SCHEMA).coalesce(1))
+        assert [tuple(r) for r in key_pairs(links, members).collect()] == [("t", "a", "b")]
