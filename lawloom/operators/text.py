@@ -143,10 +143,15 @@ def redlines(pairs: DataFrame, keys: list[str], old: str, new: str, *, packed: b
 
 
 def change_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, kind, n, chars): changes of each redline by kind, with the characters they touch."""
-    each = lines.select(*keys, F.explode("changes").alias("c"))
+    """(keys, kind, n, chars, reason): changes of each redline by kind, with the characters they touch.
+
+    A refused pair has one row of the kind ``refused`` with the reason and without characters.
+    """
+    each = lines.select(*keys, "refused", F.explode_outer("changes").alias("c")).where("refused is not null or c is not null")
     touched = F.coalesce(F.length("c.deleted"), F.lit(0)) + F.coalesce(F.length("c.added"), F.lit(0))
-    return each.groupBy(*keys, F.col("c.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(touched).alias("chars"))
+    kind = F.when(F.col("refused").isNotNull(), "refused").otherwise(F.col("c.kind"))
+    chars = F.sum(F.when(F.col("refused").isNull(), touched))
+    return each.groupBy(*keys, kind.alias("kind"), F.col("refused").alias("reason")).agg(F.count(F.lit(1)).alias("n"), chars.alias("chars")).select(*keys, "kind", "n", "chars", "reason")
 
 
 def extract_documents(df: DataFrame, key: str, body: str) -> DataFrame:
