@@ -67,10 +67,17 @@ def age_in_days(text: Column, now: Column) -> Column:
     return F.datediff(now, F.substring(text, 1, 10).try_cast("date"))
 
 
-def era_notes(coverage: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+def era_notes(coverage: DataFrame, rules: list[tuple[str, str]], before: list[tuple[int, str]] | None = None) -> DataFrame:
     """(session_year, note): what a session lacks, from its coverage rows (session_year, key, value).
 
-    ``rules`` are pairs of a key and the note for sessions where its value is 0.
+    ``rules`` are pairs of a key and the note for sessions where its value is 0; ``before`` are
+    pairs of a year and the note for sessions that begin before it.
     """
-    table = coverage.sparkSession.createDataFrame(rules, "key string, note string")
-    return coverage.where(F.col("value").cast("bigint") == 0).join(table, "key").select("session_year", "note")
+    spark = coverage.sparkSession
+    table = spark.createDataFrame(rules, "key string, note string")
+    notes = coverage.where(F.col("value").cast("bigint") == 0).join(table, "key").select("session_year", "note")
+    if not before:
+        return notes
+    years = spark.createDataFrame(before, "year int, note string")
+    begun = coverage.select("session_year").distinct().withColumn("first", F.substring("session_year", 1, 4).try_cast("int"))
+    return notes.unionByName(begun.join(years, F.col("first") < F.col("year")).select("session_year", "note"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,10 +72,31 @@ def q13_tables(spark: SparkSession, root: str) -> DataFrame:
 
 
 def g12_coverage(spark: SparkSession, root: str) -> DataFrame:
-    """Notes on what sessions lack."""
+    """Notes on sessions without chaptered bills or pointers; `g12_eras` has the rules of G12."""
     return era_notes(a15_coverage(spark, root), [("chaptered", "no chaptered bills"), ("pointed", "no pointers")])
 
 
+ERA_RULES = [("bill_analysis", "no analyses"), ("bill_history", "no history"), ("bill_summary_vote", "no votes")]
+ERAS = [(1999, "chiefly chaptered bills")]
+
+
+def session_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """(session_year, key, value): rows by session of the tables of ERA_RULES that are there, 0 included."""
+    sessions = tables["bill"].select("session_year").where("session_year is not null").distinct()
+    parts = [sessions.select("session_year", F.lit("bills").alias("key"), F.lit("1").alias("value"))]
+    for name, _ in ERA_RULES:
+        if name in tables:
+            counted = tables[name].groupBy(F.substring("bill_id", 1, 8).alias("session_year")).agg(F.count(F.lit(1)).alias("n"))
+            parts.append(sessions.join(counted, "session_year", "left").select("session_year", F.lit(name).alias("key"), F.coalesce("n", F.lit(0)).cast("string").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def g12_eras(spark: SparkSession, root: str) -> DataFrame:
+    """Notes on what sessions lack, and on sessions before 1999; a table that is not there gives no note."""
+    tables = read_all(spark, root, ("bill", *(name for name, _ in ERA_RULES)))
+    return era_notes(session_rows(tables), ERA_RULES, ERAS)
+
+
 def g13_span(spark: SparkSession, root: str) -> DataFrame:
     """The first and last session."""
     return table(spark, root, "bill").agg(F.min("session_year").alias("first"), F.max("session_year").alias("last"))
@@ -96,7 +119,7 @@ def s14_freshest(spark: SparkSession, root: str) -> DataFrame:
     return freshest(rows.groupBy("delivered_at").agg(F.max("lob_file").alias("lob_file")), "lob_file", "delivered_at", F.lit("2030-01-01").cast("timestamp")).select("lob_file", "stale")
 
 
-QUERIES = {q.__name__: q for q in (q_gate, q_gate_survey, q13_not_worse, q13_tables, g12_coverage, g13_span, w1_limiter, x3_sample, s14_freshest)}
+QUERIES = {q.__name__: q for q in (q_gate, q_gate_survey, q13_not_worse, q13_tables, g12_coverage, g12_eras, g13_span, w1_limiter, x3_sample, s14_freshest)}
 
 _OPS = {">=": ">=", "<=": "<=", "=": "="}
 _VALUES = {
