@@ -234,7 +234,9 @@ def repair(records: DataFrame) -> DataFrame:
     """(tbl, key, text, repaired, lost): the records that hold garbled text.
 
     ``records`` has the columns ``tbl``, ``key``, ``source`` and ``text``; a pool is a ``tbl`` (one
-    field) of a ``source``, null being a source of its own. ``repaired`` is the original text
+    field) of a ``source``, null being a source of its own. Pools are hashed into 4,096 numbers, so
+    with thousands of sources unlike ones share a number, its estimate and its bias; a small clean
+    source may then take over the weights of a large garbled one. ``repaired`` is the original text
     wherever nothing was lost; ``lost`` tells whether characters were replaced for good, which
     then stay. Null, empty and ASCII texts are no case; rows given twice, and null keys, come out
     as they came in; an empty table gives an empty result.
