@@ -142,12 +142,12 @@ def redlines(pairs: DataFrame, keys: list[str], old: str, new: str, *, packed: b
     return map_rows(pairs, columns, work, f"{kinds}, identical boolean, refused string, markdown string, changes array<{CHANGE}>")
 
 
-def change_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
+def change_counts(lines: DataFrame, keys: list[str], *, refused: bool = False) -> DataFrame:
     """(keys, kind, n, chars, reason): changes of each redline by kind, with the characters they touch.
 
-    A refused pair has one row of the kind ``refused`` with the reason and without characters.
+    With ``refused`` a refused pair has one row of the kind ``refused`` with the reason and without characters.
     """
-    each = lines.select(*keys, "refused", F.explode_outer("changes").alias("c")).where("refused is not null or c is not null")
+    each = lines.select(*keys, "refused", F.explode_outer("changes").alias("c")).where("refused is not null or c is not null" if refused else "c is not null")
     touched = F.coalesce(F.length("c.deleted"), F.lit(0)) + F.coalesce(F.length("c.added"), F.lit(0))
     kind = F.when(F.col("refused").isNotNull(), "refused").otherwise(F.col("c.kind"))
     chars = F.sum(F.when(F.col("refused").isNull(), touched))

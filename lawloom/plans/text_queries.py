@@ -174,7 +174,7 @@ def r2_redline(spark: SparkSession, root: str) -> DataFrame:
 def r8_change_counts(spark: SparkSession, root: str) -> DataFrame:
     """Changes between prints by kind."""
     made = redlines(_version_pairs(spark, root), ["bill_version_id"], "old", "new", packed=True)
-    return change_counts(made, ["bill_version_id"])
+    return change_counts(made, ["bill_version_id"], refused=True)
 
 
 # --- versions and lineage
