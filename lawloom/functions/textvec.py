@@ -83,15 +83,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(words: Words, n: int) -> list[np.ndarray | None]:
-    """The sorted distinct hashes of each document's runs of ``n`` words."""
+def shingles(words: Words, n: int, seeds: np.ndarray | None = None) -> list[np.ndarray | None]:
+    """The sorted distinct hashes of each document's runs of ``n`` words.
+
+    ``seeds`` has a number for each document; runs of documents with unlike seeds never agree.
+    """
     of = hash_vocabulary(words.vocabulary)[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
-    count = len(of) - n + 1
+    count, first = len(of) - n + 1, words.first
+    run = np.zeros(max(count, 0), np.uint64)
     if count > 0:
-        run = np.zeros(count, np.uint64)
+        if seeds is not None:
+            run = np.repeat(seeds.astype(np.uint64), np.diff(first))[:count]
         for k in range(n):
             run = mix(run * np.uint64(0x9E3779B97F4A7C15) + of[k : k + count])
-    else:
-        run = np.zeros(0, np.uint64)
-    first = words.first
     return [np.unique(run[a : max(a, b - n + 1)]) for a, b in zip(first[:-1], first[1:])]
