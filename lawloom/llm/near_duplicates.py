@@ -1,25 +1,30 @@
 """Near-duplicate texts: every pair at or above a similarity, by signature trees.
 
 Similarity of two texts is the Jaccard index of their sets of word runs (``words`` consecutive
-words). Candidates are compared exactly, and nothing is capped.
-
-1. *Measure.* Each text gives a member row: the digest and size of its set and its token bitmap.
-   Texts with equal sets share a digest and are one node from here on.
-2. *Route.* The hash range of the runs is cut into m segments. Two sets that reach the threshold
-   differ in at most d runs, so segments without a difference remain: m is chosen for d (see
-   :func:`segments`) such that none remains with a chance below 1e-8 at thresholds from 0.8 (for
-   sets of more than SMALL runs; up to 5e-8 at 0.7). A text is sent to the
-   signature of each of its segments; about seven runs in one signature make chance meetings rare,
-   however large the corpus. Sets of at most SMALL runs are routed exactly instead: of n runs the
-   first n - ceil(t n) + 1 by hash are tokens, of which two sets that reach t share one. Texts
-   that meet form a list; lists with equal members are one list.
+words); the runs of unlike tables are unlike numbers. Candidates are compared exactly, and nothing
+is capped.
+
+1. *Measure.* Each text gives a member row: the digest (128 bits) and size of its set and its token
+   bitmap. Texts with equal sets share a digest and are one node from here on; lists and candidates
+   name a node by half of the digest, and where two nodes share that half both are compared.
+2. *Route.* The hash range of the runs is cut into m segments, and a text is sent to the signature
+   of each of its segments, in every band of sizes that its partners can have. m is the least for
+   which two sets of the band that reach the threshold agree in a segment but for a chance of
+   MISSED (see :func:`segments`). Bands whose sets are too small for that, or whose threshold is
+   too low, are routed exactly instead: of n runs the first n - ceil(t n) + 1 by hash are tokens,
+   of which two sets that reach t share one. Texts that meet form a list.
 3. *Traverse.* Each list is a signature tree: leaves are texts in order of size, inner nodes hold
    the OR of their bitmaps, the range of sizes and the least bit count. A traversal of pairs of
    nodes drops a pair as soon as the largest overlap its bitmaps allow is too small for its sizes.
-   Lists above ``run_limit`` are cut into leaf blocks, whose nodes are paired and pruned as rows
-   of a join, so no task holds a hot list.
-4. *Verify.* What is left is compared exactly. Pairs are packed into small units of texts that
-   belong together, so a text travels about once, not once a pair.
+4. *Hot lists.* Texts in lists above ``run_limit``, where a pair may meet nowhere else, are routed
+   once more and exactly: the same prefix, but of their runs from the rarest to the commonest, so a
+   phrase that very many texts share routes nobody. Texts whose rarest runs are still in lists
+   above ``run_limit`` are much alike; they form one signature tree over the whole cluster, whose
+   leaves of LEAF texts are made by likeness (order of the least hash, then of the bitmap). It is
+   traversed from the root, one join a level, and what is left are pairs of leaves: tasks of
+   bounded size.
+5. *Verify.* What is left is compared exactly. Pairs are packed into small units of texts that
+   belong together, so a text travels about once, not once a pair. Bodies come by one shuffle join.
 """
 
 from __future__ import annotations
@@ -27,13 +32,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
-from functools import cache
-from itertools import chain
+from functools import cache, lru_cache
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawloom.functions.blobs import unpack
@@ -43,14 +49,16 @@ from lawloom.plans.durable import cut
 WIDTH = 1024  # bits of a token bitmap
 LANES = WIDTH // 64
 BAND = 1.6  # ratio of the largest to the smallest set of a size band
-SPARE = 20.0  # expected segments without a difference at the threshold
+MISSED = 1e-9  # chance that a pair at the threshold meets in no segment
+SURE = 21.0  # expected segments in common with a lesser chance to have none
+EXACT = 800  # sets up to this size are judged by exact occupancy
 BATCH = 256  # texts that are split into words at once
 UNIT = 64  # texts of one side of a unit of verification
 FANOUT = 8
-SMALL = 16  # runs of a set that is routed exactly, as all its segments may hold a difference
-FEW = 200_000  # keys of texts to verify, about 100 bytes each, that may be broadcast
+LEAF = 64  # texts of a leaf of a cluster's tree
+BANDS = 60  # bands for which segments are worked out, up to 10^12 runs
 
-MEMBER = "tbl string, key string, digest bigint, n int, bits array<bigint>"
+MEMBER = "tbl string, key string, whole binary, digest bigint, n int, least bigint, bits array<bigint>"
 
 
 def _texts(body: pa.Array, packed: pa.Array) -> list[str | None]:
@@ -66,19 +74,25 @@ def _sets(batches: Iterable[pa.RecordBatch], words: int, least_words: int) -> It
         for at in range(0, whole.num_rows, BATCH):
             batch = whole.slice(at, BATCH)
             split = split_words(_texts(batch.column("body"), batch.column("packed")))
+            seeds = np.fromiter((_seed(t) for t in batch.column("tbl").to_pylist()), np.uint64, batch.num_rows)
             counts = np.diff(split.first)
-            yield batch, [s if c >= max(least_words, words) else None for s, c in zip(shingles(split, words), counts)]
+            yield batch, [s if c >= max(least_words, words) else None for s, c in zip(shingles(split, words, seeds), counts)]
 
 
-def _salt(tbl: str) -> np.uint64:
-    """Keeps the tables apart: their runs and digests never meet."""
-    return np.uint64(int.from_bytes(tbl.encode()[-8:].rjust(8, b"\0"), "little") * 2 + 1 & 0xFFFFFFFFFFFFFFFF)
+@lru_cache(maxsize=10_000)
+def _seed(tbl: str) -> int:
+    """Keeps the tables apart: their runs never meet."""
+    return xxhash.xxh3_64_intdigest(tbl)
 
 
-def _digest(tbl: str, runs: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        total = mix(runs ^ _salt(tbl)).sum(dtype=np.uint64)
-        return int(mix(np.array([total * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(runs))]) ^ _salt(tbl)).view(np.int64)[0])
+def _digest(runs: np.ndarray) -> bytes:
+    """128 bits of a set in rising order."""
+    return xxhash.xxh3_128_digest(runs.tobytes())
+
+
+def _half(digest: bytes) -> int:
+    """The half of a digest that names a node in lists."""
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
 def _bitmap(runs: np.ndarray) -> np.ndarray:
@@ -91,21 +105,15 @@ def _measure(words: int, least_words: int):
     def run(batches):
         for batch, sets in _sets(batches, words, least_words):
             rows = [
-                (t, k, _digest(t, s), len(s), _bitmap(s))
+                (t, k, d := _digest(s), _half(d), len(s), int(s[:1].view(np.int64)[0]), _bitmap(s))
                 for t, k, s in zip(batch.column("tbl").to_pylist(), batch.column("key").to_pylist(), sets)
                 if s is not None
             ]
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in rows], pa.string()),
-                        pa.array([r[1] for r in rows], pa.string()),
-                        pa.array([r[2] for r in rows], pa.int64()),
-                        pa.array([r[3] for r in rows], pa.int32()),
-                        pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * LANES, np.concatenate([r[4] for r in rows])),
-                    ],
-                    names=["tbl", "key", "digest", "n", "bits"],
-                )
+                kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                bits = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * LANES, np.concatenate([r[6] for r in rows]))
+                yield pa.RecordBatch.from_arrays([*columns, bits], names=["tbl", "key", "whole", "digest", "n", "least", "bits"])
 
     return run
 
@@ -120,63 +128,119 @@ def band_of(n: int) -> int:
     return k
 
 
-@cache
-def segments(band: int, t: Fraction) -> int:
-    """Segments for sets of a band.
+def _miss(common: int, apart: int, m: int) -> float:
+    """Chance that ``common`` runs all fall into those of m segments that ``apart`` runs touch."""
+    touched = np.zeros(apart + 1)
+    touched[0] = 1.0
+    steps = np.arange(apart + 1) / m
+    for _ in range(apart):
+        touched[1:] = touched[1:] * steps[1:] + touched[:-1] * (1 - steps[:-1])
+        touched[0] = 0.0
+    return float((touched * np.minimum(steps, 1.0) ** common).sum())
 
-    Sets of at most h runs each that reach t differ in d = 2 h (1 - t) / (1 + t) runs at most.
-    Of m segments, m exp(-d / m) are expected to hold no difference; the least m with SPARE of
-    them is taken. Small sets need less: with more than d segments in use, one is always left.
-    Fewer may be in use, so sets of at most SMALL runs do not rely on it.
-    """
-    d = 2 * BAND ** (band + 1) * float((1 - t) / (1 + t))
-    m = 1
-    while m * math.exp(-d / m) < SPARE and m < 1.35 * d + 6:
-        m += 1
-    return m
+
+def _closest(n: int, t: Fraction) -> list[tuple[int, int]]:
+    """(runs in common, runs apart) of pairs just at t of which the larger has n runs."""
+    found = []
+    for other in {n, (n - (-t.numerator * n // t.denominator)) // 2, -(-t.numerator * n // t.denominator)}:
+        common = -(-t.numerator * (n + other) // (t.numerator + t.denominator))
+        if common <= min(n, other):
+            found.append((common, n + other - 2 * common))
+    return found
 
 
-def signatures(s: np.ndarray, tbl: str, t: Fraction) -> np.ndarray:
-    """One signature for each segment of the set that is not empty, in its own size band.
+@cache
+def segments(band: int, t: Fraction) -> int:
+    """Segments for sets of a band; 0 where the exact prefix is the better route.
 
-    A set that can match a larger one of the next band has the signatures of that band too. A set
-    of at most SMALL runs has single runs instead, and one that can match such a set has both.
+    Two sets that reach t hold so many runs in common and so many apart. A segment agrees if it
+    has common runs only. Up to EXACT runs the chance that none agrees is worked out by exact
+    occupancy and has to be below MISSED; beyond, SURE agreeing segments have to be expected. A
+    band for which more segments than runs would be needed is routed by prefix.
     """
-    n, own, found = len(s), band_of(len(s)), []
-    if n * t.numerator <= SMALL * t.denominator:
-        found.append(mix(s[: n + 1 + (-t.numerator * n) // t.denominator] ^ np.uint64(0x9E3779B97F4A7C15)) ^ _salt(tbl))
-    if n <= SMALL:
-        return found[0]
-    for band in (own, own + 1) if n >= float(t) * BAND ** (own + 1) else (own,):
-        m = segments(band, t)
+    low, high = math.floor(BAND**band) + 1, math.floor(BAND ** (band + 1))
+    if band == 0 or high < low or t == 1:
+        return 0
+    if high <= EXACT:
+        pairs = [p for n in {*np.linspace(low, high, min(8, high - low + 1)).astype(int).tolist()} for p in _closest(n, t)]
+        fits = lambda m: all(_miss(c, d, m) <= MISSED for c, d in pairs)
+    else:
+        d, c = 2 * high * float((1 - t) / (1 + t)), 2 * low * float(t / (1 + t))
+        fits = lambda m: m * math.exp(-d / m) * -math.expm1(-c / m) >= SURE
+    few, many = 1, high
+    if not fits(many):
+        return 0
+    while few < many:
+        middle = (few + many) // 2
+        few, many = (few, middle) if fits(middle) else (middle + 1, many)
+    return few
+
+
+def prefix(n: int, t: Fraction) -> int:
+    """Of n runs in any one order, how many first ones two sets that reach t share one of."""
+    return n + 1 + (-t.numerator * n) // t.denominator
+
+
+def signatures(s: np.ndarray, t: Fraction, parts: list[int]) -> np.ndarray:
+    """One signature for each segment of the set that is not empty, in each size band from its own
+    to that of its largest partners; single runs of the prefix if such a band is routed so.
+
+    ``parts`` has the segments of each band.
+    """
+    n, found, exact = len(s), [], False
+    for band in range(band_of(n), band_of(n * t.denominator // t.numerator) + 1):
+        m = parts[band]
+        if not m:
+            exact = True
+            continue
         edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
         begin = np.concatenate(([0], np.searchsorted(s, edges)))
         used = np.flatnonzero(np.diff(np.append(begin, n)))
         sums = np.add.reduceat(mix(s), begin[used])
-        found.append(mix(sums + used.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)) ^ _salt(tbl))
+        found.append(mix(sums + used.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)))
+    if exact:
+        found.append(mix(s[: prefix(n, t)] ^ np.uint64(0x9E3779B97F4A7C15)))
     return np.concatenate(found)
 
 
-def _route(words: int, least_words: int, t: Fraction):
+def _route(words: int, least_words: int, t: Fraction, parts: list[int]):
     """(token, digest) for each signature of each set; a repeated set only once a task."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch, sets in _sets(batches, words, least_words):
             tokens, digests = [], []
-            for tbl, s in zip(batch.column("tbl").to_pylist(), sets):
-                if s is None or (d := _digest(tbl, s)) in seen:
+            for s in sets:
+                if s is None or (d := _digest(s)) in seen:
                     continue
-                seen.add(d)
-                own = signatures(s, tbl, t)
+                if len(seen) < 500_000:
+                    seen.add(d)
+                own = signatures(s, t, parts)
                 tokens.append(own.view(np.int64))
-                digests.append(np.full(len(own), d, np.int64))
+                digests.append(np.full(len(own), _half(d), np.int64))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, digests)], names=["token", "digest"])
 
     return run
 
 
+def _runs(words: int):
+    """(digest, n, run) for each run of each set that its row asks for by its digest."""
+
+    def run(batches):
+        for batch, sets in _sets(batches, words, 0):
+            digests, sizes, runs = [], [], []
+            for s, asked in zip(sets, batch.column("whole").to_pylist()):
+                if s is not None and _digest(s) == asked:
+                    runs.append(s.view(np.int64))
+                    digests.append(np.full(len(s), _half(asked), np.int64))
+                    sizes.append(np.full(len(s), len(s), np.int32))
+            if runs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (digests, sizes, runs)], names=["digest", "n", "run"])
+
+    return run
+
+
 def _lists(run_limit: int):
     """Runs of equal tokens in rows sorted by token and digest: short ones as lists of distinct
     members, rows of long ones as they are.
@@ -304,54 +368,85 @@ def _traverse_lists(t: Fraction):
     return run
 
 
-def _hot_lists(hot: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
-    """Leaf blocks of the hot runs, paired and pruned: rows (list, digest, side)."""
-    step = 1.05
-    far = int(np.ceil(np.log(float(1 / t)) / np.log(step)))
-    rows = hot.select("token", "digest").distinct().join(nodes.select("digest", "n"), "digest").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(step)))).cast("int"))
-    width = rows.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / UNIT).alias("leaves"))
-    placed = cut(rows.join(width, ["token", "band"]).select("token", "band", F.pmod(F.xxhash64("digest"), "leaves").alias("leaf"), "digest"))
-    signed = placed.join(nodes, "digest")
-    lanes = [F.element_at("bits", k + 1) for k in range(LANES)]
-    leaf = signed.groupBy("token", "band", "leaf").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min(sum((F.bit_count(x) for x in lanes), F.lit(0))).alias("least"), *[F.bit_or(x).alias(f"w{k}") for k, x in enumerate(lanes)]
-    )
-    left = leaf.withColumn("near", F.explode(F.sequence(F.col("band"), F.col("band") + far)))
-    right = leaf.select("token", *[F.col(c).alias(f"r_{c}") for c in leaf.columns if c != "token"])
-    common = sum((F.bit_count(F.col(f"w{k}").bitwiseAND(F.col(f"r_w{k}"))) for k in range(LANES)), F.lit(0))
-    most = F.least(F.col("high") - F.greatest(F.lit(0), F.col("least") - common), F.col("r_high") - F.greatest(F.lit(0), F.col("r_least") - common))
+def _rarest(bodies: DataFrame, words: int, t: Fraction) -> DataFrame:
+    """(token, digest): the prefix of each set in the order from its rarest run to its commonest."""
+    runs = cut(bodies.mapInArrow(_runs(words), "digest bigint, n int, run bigint").distinct())
+    held = runs.groupBy("run").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("digest", "n").orderBy("df", "run"))
+    size = F.col("n") + 1 - F.ceil(F.col("n") * t.numerator / t.denominator - 1e-9)
+    return runs.join(held, "run").withColumn("place", place).where((F.col("place") <= size) & (F.col("df") > 1)).select(F.col("run").alias("token"), "digest")
+
+
+def _number(starts: dict[int, int] | None):
+    """Rows of a task in order as (leaf, digest); without ``starts`` only how many leaves a task has."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            at = np.arange(seen, seen + batch.num_rows)
+            seen += batch.num_rows
+            if starts is not None and batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(at // LEAF + starts[task]), batch.column(0)], names=["leaf", "digest"])
+        if starts is None:
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([-(-seen // LEAF)], pa.int64())], names=["leaf", "digest"])
+
+    return run
+
+
+def _cluster(hot: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs of leaves that a traversal of one signature tree leaves: rows (list, digest, side).
+
+    The number of leaves of each task comes to the driver, so that leaves are numbered without
+    gaps; a node of the level above has FANOUT neighbours.
+    """
+    ordered = cut(hot.repartitionByRange("least", "bits", "digest").sortWithinPartitions("least", "bits", "digest"))
+    starts, leaves = {}, 0
+    for task, many in sorted(tuple(r) for r in ordered.select("digest").mapInArrow(_number(None), "leaf bigint, digest bigint").collect()):
+        starts[task], leaves = leaves, leaves + many
+    placed = cut(ordered.select("digest").mapInArrow(_number(starts), "leaf bigint, digest bigint"))
+    lanes = [f"w{k}" for k in range(LANES)]
+    nodes = placed.join(hot, "digest").select("leaf", "n", *[F.element_at("bits", k + 1).alias(x) for k, x in enumerate(lanes)])
+    ones = sum((F.bit_count(F.col(x)) for x in lanes), F.lit(0))
+    tree = [cut(nodes.groupBy(F.col("leaf").alias("node")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min(ones).alias("least"), *[F.bit_or(x).alias(x) for x in lanes]))]
+    while leaves > 1:
+        leaves = -(-leaves // FANOUT)
+        tree.append(cut(tree[-1].groupBy(F.floor(F.col("node") / FANOUT).alias("node")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("least").alias("least"), *[F.bit_or(x).alias(x) for x in lanes])))
+    pairs = hot.sparkSession.range(1).select(F.col("id").alias("i"), F.col("id").alias("j"))
     p, q = t.numerator, t.denominator
-    pairs = left.join(right, (left["token"] == right["token"]) & (F.col("near") == F.col("r_band"))).where(
-        ((F.col("band") < F.col("r_band")) | (F.col("leaf") <= F.col("r_leaf")))
-        & (F.greatest("low", "r_low") * p <= F.least("high", "r_high") * q)
-        & (most * (p + q) >= p * (F.col("low") + F.col("r_low")))
-    )
-    pairs = pairs.select(
-        left["token"], F.xxhash64(left["token"], "band", "leaf", "r_band", "r_leaf").alias("list"),
-        F.explode(F.when((F.col("band") == F.col("r_band")) & (F.col("leaf") == F.col("r_leaf")), F.array(F.struct("band", "leaf", F.lit(0).alias("side")))).otherwise(F.array(F.struct("band", "leaf", F.lit(1).alias("side")), F.struct(F.col("r_band").alias("band"), F.col("r_leaf").alias("leaf"), F.lit(2).alias("side"))))).alias("at"),
-    ).select("token", "list", "at.*")
-    return pairs.join(placed, ["token", "band", "leaf"]).select("list", "digest", "side")
+    for depth, level in reversed(list(enumerate(tree))):
+        left, right = (level.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("low", "high", "least", *lanes)]) for x in ("i", "j"))
+        common = sum((F.bit_count(F.col(f"i_{x}").bitwiseAND(F.col(f"j_{x}"))) for x in lanes), F.lit(0))
+        most = F.least(*[F.col(f"{x}_high") - F.greatest(F.lit(0), F.col(f"{x}_least") - common) for x in "ij"])
+        fits = (F.greatest("i_low", "j_low") * p <= F.least("i_high", "j_high") * q) & (most * (p + q) >= p * (F.col("i_low") + F.col("j_low")))
+        pairs = cut(pairs.join(left, "i").join(right, "j").where(fits).select("i", "j"))
+        if depth:
+            children = lambda node: F.explode(F.sequence(F.col(node) * FANOUT, F.col(node) * FANOUT + FANOUT - 1))
+            pairs = pairs.select(children("i").alias("a"), "j").select("a", children("j").alias("b")).where("a <= b").toDF("i", "j")
+    sides = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("leaf"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("leaf"), F.lit(1).alias("side")), F.struct(F.col("j").alias("leaf"), F.lit(2).alias("side"))))
+    return pairs.select(F.xxhash64("i", "j", F.lit(1)).alias("list"), F.explode(sides).alias("at")).select("list", "at.*").join(placed, "leaf").select("list", "digest", "side")
 
 
 def _verify(words: int, t: Fraction):
     def run(batches):
         for table in _groups(batches, "unit"):
             docs = table.filter(pc.is_valid(table.column("body")))
-            sets = {}
+            sets: dict[int, dict[bytes, np.ndarray]] = {}
             for batch, found in _sets(docs.to_batches(), words, 0):
-                for a, tbl, s in zip(batch.column("a").to_pylist(), batch.column("tbl").to_pylist(), found):
-                    if s is not None and _digest(tbl, s) == a:  # a key may have other texts
-                        sets[a] = s
+                for asked, s in zip(batch.column("whole").to_pylist(), found):
+                    if s is not None and _digest(s) == asked:  # a key may have other texts
+                        sets.setdefault(_half(asked), {})[asked] = s
             i, j = [], []
             pairs = table.filter(pc.is_null(table.column("body")))
             for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
-                x, y = sets[a], sets[b]
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                if both * t.denominator >= (len(x) + len(y) - both) * t.numerator:
-                    i.append(a)
-                    j.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64())], names=["a", "b"])
+                for (da, x), (db, y) in product(sets[a].items(), sets[b].items()):
+                    at = np.searchsorted(x, y)
+                    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                    if both * t.denominator >= (len(x) + len(y) - both) * t.numerator:
+                        i.append(min(da, db))
+                        j.append(max(da, db))
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.binary()), pa.array(j, pa.binary())], names=["a", "b"])
 
     return run
 
@@ -365,19 +460,36 @@ def near_duplicates(texts: DataFrame, *, threshold: float = 0.8, words: int = 5,
     Returns ``(links, members)``: links (a, b), a < b, between digests of distinct sets, and
     members (tbl, key, digest). Texts of one digest are copies for this similarity. Nulls, blobs
     that do not unpack and texts of fewer than ``least_words`` or ``words`` words have no row;
-    rows given twice count once; each text of a key with several is compared; empty input gives empty results. Digests have 64 bits.
+    rows given twice count once; each text of a key with several is compared; empty input gives
+    empty results. ``threshold`` lies above 0 and is at most 1; digests have 128 bits.
     """
+    if not (0 < threshold <= 1 and words >= 1 and run_limit >= 1):
+        raise ValueError("threshold must be above 0 and at most 1, words and run_limit at least 1")
     t = Fraction(threshold).limit_denominator(10_000)
     source = texts.select("tbl", "key", "body", "packed").where("tbl is not null and key is not null and body is not null")
     measured = cut(source.mapInArrow(_measure(words, least_words), MEMBER))
-    members = measured.select("tbl", "key", "digest")
-    nodes = measured.select("digest", "n", "bits").dropDuplicates(["digest"])
-    routed = source.mapInArrow(_route(words, least_words, t), "token bigint, digest bigint")
-    met = cut(routed.repartition("token").sortWithinPartitions("token", "digest").mapInArrow(_lists(run_limit), "list bigint, digest bigint, token bigint"))
-    lists = met.where("token is null").select("list", "digest", F.lit(0).alias("side"))
-    hot = met.where("token is not null")
+    members = measured.select("tbl", "key", F.col("whole").alias("digest"))
+    nodes = measured.select("whole", "digest", "n", "least", "bits").dropDuplicates(["whole"]).drop("whole")
+    one = measured.groupBy("whole", "digest").agg(F.min(F.struct("tbl", "key")).alias("m")).select("whole", "digest", "m.tbl", "m.key")
+
+    def bodies(asked: DataFrame) -> DataFrame:
+        """The bodies of asked rows (tbl, key, ...), at any size by a shuffle of both."""
+        return source.join(asked.hint("merge"), ["tbl", "key"])
+
+    def met(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Short lists, and the nodes in lists above the limit."""
+        found = cut(routed.repartition("token").sortWithinPartitions("token", "digest").mapInArrow(_lists(run_limit), "list bigint, digest bigint, token bigint"))
+        return found.where("token is null").select("list", "digest", F.lit(0).alias("side")), found.where("token is not null").select("digest").distinct()
+
+    parts = [segments(band, t) for band in range(BANDS)]
+    lists, hot = met(source.mapInArrow(_route(words, least_words, t, parts), "token bigint, digest bigint"))
+    hot = cut(hot)
     if not hot.isEmpty():
-        lists = lists.unionByName(_hot_lists(hot, nodes, t))
+        more, alike = met(_rarest(bodies(one.join(hot, "digest")), words, t))
+        lists = lists.unionByName(more)
+        alike = cut(nodes.join(alike, "digest"))
+        if not alike.isEmpty():
+            lists = lists.unionByName(_cluster(alike, t))
     lists = lists.distinct().join(nodes, "digest").select("list", "digest", "side", "n", "bits")
     candidates = cut(lists.repartition("list").sortWithinPartitions("list").mapInArrow(_traverse_lists(t), "a bigint, b bigint").distinct())
 
@@ -388,23 +500,22 @@ def near_duplicates(texts: DataFrame, *, threshold: float = 0.8, words: int = 5,
     placed = candidates.join(spot.select(F.col("digest").alias("a"), F.col("spot").alias("sa")), "a").join(spot.select(F.col("digest").alias("b"), F.col("spot").alias("sb")), "b")
     pairs = cut(placed.select(F.xxhash64(F.least("sa", "sb"), F.greatest("sa", "sb")).alias("unit"), "a", "b"))
     wanted = pairs.select("unit", F.explode(F.array("a", "b")).alias("digest")).distinct()
-    one = members.groupBy("digest").agg(F.min(F.struct("tbl", "key")).alias("m")).select("digest", "m.tbl", "m.key")
-    asked = cut(wanted.join(one, "digest"))
-    if asked.count() <= FEW:
-        asked = F.broadcast(asked)  # else all bodies are shuffled once to meet the asked keys
-    bodies = source.join(asked, ["tbl", "key"])
-    rows = bodies.select("unit", F.col("digest").alias("a"), F.lit(None).cast("bigint").alias("b"), "body", "packed", "tbl").unionByName(
-        pairs.select("unit", "a", "b", F.lit(None).cast("binary").alias("body"), F.lit(False).alias("packed"), F.lit(None).cast("string").alias("tbl"))
+    rows = bodies(wanted.join(one, "digest")).select("unit", "whole", F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"), "body", "packed", "tbl").unionByName(
+        pairs.select("unit", F.lit(None).cast("binary").alias("whole"), "a", "b", F.lit(None).cast("binary").alias("body"), F.lit(False).alias("packed"), F.lit(None).cast("string").alias("tbl"))
     )
-    links = rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify(words, t), "a bigint, b bigint")
+    links = rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify(words, t), "a binary, b binary")
     return links, members
 
 
 def key_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(tbl, key_a, key_b) of all pairs of different keys: of links, and of copies of one text."""
+    """(tbl, key_a, key_b) of all pairs of different keys: of links, and of copies of one text.
+
+    Copies are expanded into all their pairs, as a result of pairs demands; ``groups.grouped``
+    says the same without that, one row a key.
+    """
     m = members.distinct()
     x = m.select("tbl", F.col("digest").alias("a"), F.col("key").alias("ka"))
-    y = m.select(F.col("tbl").alias("tbl_b"), F.col("digest").alias("b"), F.col("key").alias("kb"))
-    linked = links.distinct().join(x, "a").join(y, "b").select("tbl", "ka", "kb")
-    copies = x.join(y, (F.col("a") == F.col("b")) & (F.col("ka") < F.col("kb"))).select("tbl", "ka", "kb")
-    return linked.unionByName(copies).select("tbl", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
+    y = m.select("tbl", F.col("digest").alias("b"), F.col("key").alias("kb"))
+    linked = links.distinct().join(x, "a").join(y, ["tbl", "b"]).select("tbl", "ka", "kb")
+    copies = x.join(y.withColumnRenamed("b", "a"), ["tbl", "a"]).where("ka < kb").select("tbl", "ka", "kb")
+    return linked.unionByName(copies).select("tbl", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
