@@ -167,6 +167,23 @@ def test_blocks():
     assert B.split_blocks("") == [""] and B.section_index("") == ([], True)
 
 
+@pytest.mark.parametrize(
+    ("text", "code", "section", "want"),
+    [
+        ("SEC. 4. Section 9 of the Mill Code, as amended by Section 2\nof Chapter 100 of the Statutes of 2020, is further amended to read:9. (a) G.", "Mill Code", "9", [("SEC. 4.", "amended to read", "as amended by Section 2 of Chapter 100 of the Statutes of 2020", "(a) G.")]),
+        ("x follows:SEC. 32.The heading of Part 6 of the Mill Code is amended to read:6.MILL FUNDSEC. 33.Section 12.5 of the Mill Code is amended to read:12.5.This.", "Mill Code", "12.5", [("SEC. 33.", "amended to read", None, "This.")]),
+        ("SEC. 1. Section 8 of the Mill Code is amended to read:8. This section, as amended by this act, is strict.", "Mill Code", "8", [("SEC. 1.", "amended to read", None, "This section, as amended by this act, is strict.")]),
+        ("SEC. 2. Section 5 of the Mill Code is amended to read:5. A.CORRECTIONS:Digest—Pages 2 and 3.\nText—Page 5.\nREVISIONS:\nTitle—Line 1.", "Mill Code", "5", [("SEC. 2.", "amended to read", None, "A.")]),
+        ("SEC. 2. Section 5 of the Mill Code is amended to read:5. A. CORRECTIONS:Digest—Page 2. More.", "Mill Code", "5", [("SEC. 2.", "amended to read", None, "A. CORRECTIONS:Digest—Page 2. More.")]),
+        ("SECTION 1.Section 7 of the Code of Civil Procedure now reads:\n7. Notwithstanding Section 8 of the Mill Code.", "Code of Civil Procedure", "7", [("SECTION 1.", "now reads", None, "Notwithstanding Section 8 of the Mill Code.")]),
+        ("SEC. 3. Section 5 is added to the Mill Code, to read:5. The SECTION 2 of it quotes.", "Mill Code", "5", [("SEC. 3.", "added to the Mill Code, to read", None, "The SECTION 2 of it quotes.")]),
+    ],
+)
+def test_block_forms(text, code, section, want):
+    assert [(b.heading, b.action, b.lineage, b.body) for b in B.section_blocks(text, code, section)] == want
+    assert (code, section) in [(n, s) for n, s, _ in B.all_blocks(text)]
+
+
 # --- redlines
 
 
