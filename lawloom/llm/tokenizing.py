@@ -6,11 +6,9 @@ ids are joined back by position.
 
 from __future__ import annotations
 
-import unicodedata
-import uuid
 from collections.abc import Iterator
-from functools import cache, lru_cache
-from itertools import chain
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,23 +18,54 @@ from pyspark.sql import functions as F
 from lawloom.plans.durable import cut
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
-#: Unicode's White_Space property.
-_SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
-CHUNK_DOCS, CHUNK_CHARS = 256, 1_000_000
+CHUNK_DOCS, CHUNK_CHARS = 2048, 4_000_000  # a chunk holds no more than one batch
 
 
-@cache
-def _classes() -> np.ndarray:
-    kind = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    table[list(_SPACES)] = SPACE
-    return table
+class Classes(NamedTuple):
+    """Classes of code points as runs: from ``start[k]`` on they have the class ``kind[k]``."""
 
+    start: np.ndarray
+    kind: np.ndarray
 
-def split_pieces(texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    def table(self) -> np.ndarray:
+        return np.repeat(self.kind, np.diff(np.append(self.start, 0x110000)))
+
+
+@lru_cache(maxsize=4)
+def classes(path: str) -> Classes:
+    """The classes that the tokenizer itself splits by, whichever Unicode version it was built on.
+
+    Its splitter is asked once for all code points in order, of which each piece has one class, and
+    for one code point of each piece: what it joins with is its class.
+    """
+    split = _tokenizer(path).pre_tokenizer.pre_tokenize_str
+    joins = lambda before, c: len(split(before + c)) == 1
+    start, kind = [], []
+    for low, high in ((0, 0x20), (0x20, 0x21), (0x21, 0xD800), (0xE000, 0x110000)):
+        for _, (at, _) in split("".join(map(chr, range(low, high)))):
+            c = chr(low + at)
+            start.append(low + at)
+            kind.append(LETTER if joins("a", c) else NUMBER if joins("1", c) else OTHER if joins("!", c) else SPACE)
+    return Classes(np.array(start), np.array(kind, np.uint8))
+
+
+@lru_cache(maxsize=4)
+def _table(runs: bytes) -> np.ndarray:
+    start, kind = np.frombuffer(runs, np.int64).reshape(2, -1)
+    return Classes(start, kind.astype(np.uint8)).table()
+
+
+def class_runs(path: str) -> bytes:
+    """:func:`classes` as bytes, for tasks."""
+    return np.stack([classes(path).start, classes(path).kind.astype(np.int64)]).tobytes()
+
+
+def split_pieces(texts: list[str | None], runs: bytes) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The tokenizer's words of all texts in order, and the first word of each text.
 
+    ``runs`` are the tokenizer's classes of code points, by :func:`class_runs`.
+
     The words are those of the pattern of byte-level BPE: a contraction; letters, digits or other
     characters with at most one blank before them; white space, of which the last character before
     a word stands alone or, if a blank, joins the word.
@@ -48,7 +77,7 @@ def split_pieces(texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarra
     borders = np.concatenate(([0], np.cumsum(lengths)))
     if not n:
         return pa.array([], pa.large_string()).dictionary_encode(), np.zeros(len(texts) + 1, np.int64)
-    c = _classes()[cp]
+    c = _table(runs)[cp]
     edge = np.zeros(n + 1, bool)
     edge[1:n] = c[1:] != c[:-1]
     edge[borders] = True
@@ -97,17 +126,6 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch
         yield batch.slice(start), texts[start:]
 
 
-def _distinct(batches):
-    seen: set[str] = set()
-    for batch in batches:
-        for _, texts in _slices(batch, 0):
-            new = [w for w in split_pieces(texts)[0].dictionary.to_pylist() if w not in seen]
-            if len(seen) < 200_000:
-                seen.update(new)
-            if new:
-                yield pa.RecordBatch.from_arrays([pa.array(new, pa.string())], names=["word"])
-
-
 def _encode(path: str):
     def run(batches):
         for batch in batches:
@@ -117,12 +135,6 @@ def _encode(path: str):
     return run
 
 
-def word_table(df: DataFrame, text: str, tokenizer: str) -> DataFrame:
-    """(word, ids) of each distinct word of the column ``text``; each is encoded once."""
-    words = df.select(df[text].alias("text")).where("text is not null").mapInArrow(_distinct, "word string").distinct()
-    return words.mapInArrow(_encode(tokenizer), "word string, ids array<int>")
-
-
 def _place(codes: np.ndarray, first: np.ndarray, flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> pa.ListArray:
     """Ids of each text: of word w they are flat[begin[w] : begin[w] + count[w]]."""
     many = count[codes]
@@ -133,54 +145,23 @@ def _place(codes: np.ndarray, first: np.ndarray, flat: np.ndarray, begin: np.nda
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[source], pa.int32()))
 
 
-class _Shared:
-    """A broadcast value with a lasting name, so that a worker unpacks it once."""
-
-    def __init__(self, broadcast):
-        self.broadcast, self.name = broadcast, uuid.uuid4().hex
-
-
-_tables: dict[str, tuple] = {}
-
-
-def _lookup(shared: _Shared) -> tuple:
-    """Index, ids, begins and counts of the broadcast word table."""
-    if shared.name not in _tables:
-        table = pa.ipc.open_stream(pa.py_buffer(shared.broadcast.value)).read_all().combine_chunks()
-        lists = table.column("ids").chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int32()))
-        begin = lists.offsets.to_numpy().astype(np.int64)
-        _tables.clear()
-        _tables[shared.name] = ({w: k for k, w in enumerate(table.column("word").to_pylist())}, lists.values.to_numpy(), begin[:-1], np.diff(begin))
-    return _tables[shared.name]
-
-
-def _by_table(shared: _Shared, key: str):
-    def run(batches):
-        index, flat, begin, count = _lookup(shared)
-        for batch in batches:
-            for part, texts in _slices(batch, 1):
-                words, first = split_pieces(texts)
-                own = np.fromiter((index[w] for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
-                ids = _place(own[words.indices.to_numpy()], first, flat, begin, count)
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "ids"])
-
-    return run
-
+def _chunks(kind: pa.DataType, runs: bytes):
+    """Texts in chunks: their keys, the first word of each, their words as codes, and the distinct words."""
 
-def _chunks(kind: pa.DataType):
     def run(batches):
         from pyspark import TaskContext
 
         serial = 0
         for batch in batches:
             for part, texts in _slices(batch, 1):
-                words, first = split_pieces(texts)
+                words, first = split_pieces(texts, runs)
+                codes = words.indices.to_numpy().astype(np.uint16 if len(words.dictionary) <= 1 << 16 else np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([(TaskContext.get().partitionId() << 32) + serial], pa.int64()),
                         pa.array([part.column(0).to_pylist()], pa.list_(kind)),
-                        pa.array([first.tolist()], pa.list_(pa.int64())),
-                        pa.array([words.indices.to_numpy().astype(np.int32).tobytes()], pa.binary()),
+                        pa.array([first.astype(np.int64).tobytes()], pa.binary()),
+                        pa.array([codes.tobytes()], pa.binary()),
                         pa.array([words.dictionary.to_pylist()], pa.list_(pa.string())),
                     ],
                     names=["chunk", "keys", "first", "codes", "words"],
@@ -190,16 +171,22 @@ def _chunks(kind: pa.DataType):
     return run
 
 
-def _by_chunk(key: str):
+def _by_chunk(key: str, kind: pa.DataType):
+    """The ids of each text of a chunk, those of its distinct words being put in their places."""
+
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = [i for _, i in sorted((w["pos"], w["ids"]) for w in row["found"] or [])]
-                count = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))
-                placed = _place(np.frombuffer(row["codes"], np.int32), np.array(row["first"]), flat, np.cumsum(count) - count, count)
-                kind = batch.schema.field("keys").type.value_type
-                yield pa.RecordBatch.from_arrays([pa.array(row["keys"], kind), placed], names=[key, "ids"])
+            batch = pa.Table.from_batches([batch]).combine_chunks()
+            for k in range(batch.num_rows):
+                codes, first, found = batch.column("codes")[k].as_py(), np.frombuffer(batch.column("first")[k].as_py(), np.int64), batch.column("found")[k].values
+                if found is None:
+                    found = pa.array([], pa.struct([("pos", pa.int32()), ("ids", pa.list_(pa.int32()))]))
+                place, lists = found.flatten()
+                order = np.argsort(place.to_numpy())
+                offsets = lists.offsets.to_numpy().astype(np.int64)
+                own = np.frombuffer(codes, np.uint16 if len(order) <= 1 << 16 else np.int32).astype(np.int64)
+                ids = _place(own, first, lists.values.to_numpy(), offsets[:-1][order], np.diff(offsets)[order])
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column("keys")[k].as_py(), kind), ids], names=[key, "ids"])
 
     return run
 
@@ -208,40 +195,25 @@ def _kind(spark_type: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[spark_type]
 
 
-def encode(df: DataFrame, key: str, text: str, tokenizer: str, *, table_limit: int = 64_000_000) -> DataFrame:
+def encode(df: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
     """(key, ids): the token ids of each text, without special tokens; one row for each row.
 
     ``tokenizer`` is the file of a byte-level BPE; strings of special tokens in a text are
     ordinary text. An empty and a null text both give an empty list; null and repeated keys are
     kept as they are; other columns are ignored; an empty table gives an empty result.
 
-    The word table goes to the workers whole while its measured size is within ``table_limit``
-    bytes. Beyond it, chunks of texts are kept as codes of their own words, and the ids of those
-    words come by a shuffle join on the word, so nothing of unbounded size is broadcast.
+    Texts are split once, into chunks that hold their words as codes; each distinct word of the
+    corpus is encoded once; its ids come back to the chunks by a shuffle join on the word and are
+    put in place by position. Nothing is broadcast, whatever the number of words.
     """
-    spark = df.sparkSession
     kind = dict(df.dtypes)[key]
-    table = cut(word_table(df, text, tokenizer))
-    size = table.agg(F.coalesce(F.sum(F.octet_length("word") + 4 * F.size("ids") + 16), F.lit(0))).first()[0]
     chosen = df.select(df[key].alias("__key"), df[text].alias("__text"))
-    schema = f"`{key}` {kind}, ids array<int>"
-    if size <= table_limit:
-        arrow = table.toArrow()
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, arrow.schema) as out:
-            out.write_table(arrow)
-        sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-        return chosen.mapInArrow(_by_table(_Shared(sent), key), schema)
-    return encode_by_join(chosen, kind, key, table)
-
-
-def encode_by_join(chosen: DataFrame, kind: str, key: str, table: DataFrame) -> DataFrame:
-    """The form of :func:`encode` for word tables of any size."""
-    chunks = cut(chosen.mapInArrow(_chunks(_kind(kind)), f"chunk bigint, keys array<{kind}>, first array<bigint>, codes binary, words array<string>"))
+    chunks = cut(chosen.mapInArrow(_chunks(_kind(kind), class_runs(tokenizer)), f"chunk bigint, keys array<{kind}>, first binary, codes binary, words array<string>"))
     asked = chunks.select("chunk", F.posexplode("words").alias("pos", "word"))
-    found = asked.join(table, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "ids")).alias("found"))
-    whole = chunks.select("chunk", "keys", "first", "codes").join(found, "chunk", "left")
-    return whole.mapInArrow(_by_chunk(key), f"`{key}` {kind}, ids array<int>")
+    table = asked.select("word").distinct().mapInArrow(_encode(tokenizer), "word string, ids array<int>")
+    found = asked.join(table.hint("merge"), "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "ids")).alias("found"))
+    whole = chunks.select("chunk", "keys", "first", "codes").join(found.hint("merge"), "chunk", "left").select("keys", "first", "codes", "found")
+    return whole.mapInArrow(_by_chunk(key, _kind(kind)), f"`{key}` {kind}, ids array<int>")
 
 
 @lru_cache(maxsize=4)
