@@ -1,8 +1,9 @@
 """Wrongly decoded text."""
 
 import random
+import unicodedata
 
-from lawloom.llm.garbling import CHAINS, repair, undo
+from lawloom.llm.garbling import CHAINS, readings, repair, undo
 
 SCHEMA = "tbl string, key string, source string, text string, pool int"
 WORDS = ["“fee”", "§ 12", "naïve", "5½", "Île", "mover’s", "Ã-frame", "grade Â", "Łódź", "now — then"]
@@ -50,3 +51,21 @@ def test_repair(spark):
 
 def test_empty(spark):
     assert repair(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_quick_test_never_denies_a_reading():
+    rng = random.Random(6)
+    chars = "éÃ©â€œ½Â ÐÑ€їПрслово日本語鈥檚ä漢カナαβγ\x9d\x81\xa0"
+    for _ in range(3000):
+        text = "".join(rng.choice(chars) for _ in range(rng.randint(1, 8)))
+        meant = {n: t for n, chain in enumerate(CHAINS) if chain and (t := undo(text, chain)) is not None}
+        assert dict(readings(text)) == {0: text, **{n: t for n, t in meant.items() if all(unicodedata.category(c) not in ("Cc", "Cn", "Co") for c in t if c not in text)}}
+
+
+def test_prose_of_other_scripts_and_many_sources(spark):
+    rng = random.Random(8)
+    words = ["слово", "закон", "λόγος", "νόμος", "法律です", "県の条例", "naïve", "“fee”"]
+    rows = [("a", str(k), f"s{k % 700}", " ".join(rng.choice(words) for _ in range(8)), 1) for k in range(1400)]
+    rows += [("a", f"bad{k}", f"s{k}", _garble("the “fee” is naïve", ("utf-8", "cp1252")), 1) for k in range(20)]
+    got = {r.key: r.repaired for r in repair(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {f"bad{k}": "the “fee” is naïve" for k in range(20)}
