@@ -15,6 +15,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -69,6 +70,7 @@ X Х Χ
 Y Ү Υ
 Z - Ζ
 """
+FORM_RANGES = ((0xA0, 0x3000), (0xF900, 0x10000), (0x1D400, 0x1D800), (0x1EE00, 0x1EF00), (0x2F800, 0x2FA20))  # blocks with forms of other characters
 SCRIPTS = ("Latin", "Cyrillic", "Greek")
 _RUN = regex.compile(r"\p{L}+")
 _FOREIGN = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
@@ -108,8 +110,10 @@ def forms() -> list[list[str]]:
         union.join(c, " ")
     for c in INVISIBLE:
         union.join(c, "")
-    for code in (*range(0xA0, 0x2000), 0x2126, 0x212A, 0x212B):
+    for code in chain(*(range(*r) for r in FORM_RANGES)):
         c = chr(code)
+        if unicodedata.decomposition(c).startswith(("<font>", "<narrow>", "<wide>")) and c not in WIDE and c not in BLANKS:
+            union.join(c, unicodedata.normalize("NFKC", c))
         apart = unicodedata.normalize("NFD", c)
         if apart != c and all(m in ACCENTS for m in apart[1:]):
             union.join(apart, unicodedata.normalize("NFC", c))
@@ -198,15 +202,19 @@ def mixed_runs(text: str) -> list[tuple[int, int]]:
 
 
 def rewrite(text: str, rules: Rules, made) -> tuple[str, int, int]:
-    """(text in one form, variant characters found, mixed runs found)."""
+    """(text in one form, cases rewritten, cases that have no other form and stay).
+
+    A case is a member of a class that is a case by itself, or a mixed run; the automaton replaces
+    members, longest first, until none is left that has a better one.
+    """
     if text.isascii():
         return text, 0, 0
-    found = 0
-    mixed = len(mixed_runs(text))
+    done = kept = 0
     for turn in range(3):
         out, at = [], 0
         for end, (length, by, variant) in made.iter_long(text):
-            found += variant and not turn
+            done += variant and by is not None
+            kept += variant and by is None and not turn
             if by is not None:
                 out += [text[at : end + 1 - length], by]
                 at = end + 1
@@ -214,8 +222,11 @@ def rewrite(text: str, rules: Rules, made) -> tuple[str, int, int]:
             break
         text = "".join([*out, text[at:]])
     for a, b in reversed(mixed_runs(text)):
-        text = text[:a] + _one_script(text[a:b], rules) + text[b:]
-    return text, found, mixed
+        new = _one_script(text[a:b], rules)
+        done += new != text[a:b]
+        kept += new == text[a:b]
+        text = text[:a] + new + text[b:]
+    return text, done, kept
 
 
 def _counts(batches: Iterator[pa.RecordBatch]):
@@ -261,22 +272,24 @@ def _run(rules: Rules, key: str, with_text: bool):
             done = [(None, 0, 0) if t is None else rewrite(t, rules, made) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([d[0] if with_text else None for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32())],
-                names=[key, "text", "variants", "mixed"],
+                names=[key, "text", "rewritten", "kept"],
             )
 
     return run
 
 
 def unify(df: DataFrame, key: str, text: str, *, with_text: bool = True) -> DataFrame:
-    """(key, text, variants, mixed): each text in one form, and what it held; one row for each row.
-
-    ``variants`` counts full-width forms, combining accents, invisible characters and unusual
-    blanks; ``mixed`` counts runs of letters that mix Latin with Greek or Cyrillic. Null texts stay
-    null with counts of 0, empty ones empty; null and repeated keys are kept; other columns are
-    ignored. An accent that composes with nothing and a mixed run that fits no single script stay
-    in the text but are counted.
+    """(key, text, rewritten, kept): each text in one form, and its cases; one row for each row.
+
+    Cases are full-width forms, combining accents, invisible characters, unusual blanks, and runs
+    of letters that mix Latin with Greek or Cyrillic. ``rewritten`` counts those that the rewriting
+    replaced, ``kept`` those that have no better form: an accent that composes with nothing, and a
+    mixed run that fits no single script. Forms of a character that are no case, such as
+    mathematical letters, are rewritten but not counted. Null texts stay null with counts of 0,
+    empty ones empty; null and repeated keys are kept; other columns are ignored. ``text`` is null
+    without ``with_text``.
     """
     rules = choose(frequencies(df, text))
     kind = dict(df.dtypes)[key]
     chosen = df.select(df[key].alias("__key"), df[text].alias("__text"))
-    return chosen.mapInArrow(_run(rules, key, with_text), f"`{key}` {kind}, text string, variants int, mixed int")
+    return chosen.mapInArrow(_run(rules, key, with_text), f"`{key}` {kind}, text string, rewritten int, kept int")

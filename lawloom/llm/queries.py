@@ -83,8 +83,8 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
-    """Documents with characters that only look ordinary."""
-    return unify(table(spark, root, "documents"), "doc_id", "text", with_text=False).where("variants > 0 or mixed > 0").select("doc_id").distinct()
+    """Documents in which the rewriting to one form replaces a case, or meets one that has no other form."""
+    return unify(table(spark, root, "documents"), "doc_id", "text", with_text=False).where("rewritten > 0 or kept > 0").select("doc_id").distinct()
 
 
 def p10_texts(spark: SparkSession, root: str) -> DataFrame:

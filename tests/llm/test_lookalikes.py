@@ -31,19 +31,22 @@ def test_union_is_transitive():
         ("слoво", "слово", True),
         ("日本　x", "日本 x", True),
         ("x̶", "x̶", True),
+        ("𝐜𝐨𝐝𝐞 ﬃ ｱ", "code ﬃ ア", False),
+        ("Ａ\u030a x", "Å x", True),
+        ("xж", "xж", True),
         ("", "", False),
         (None, None, False),
     ],
 )
 def test_forms(spark, text, form, case):
-    base = "the code of the ten within the fee " * 20 + " слово слово вода кот"
+    base = "the code of the ten within the fee " * 20 + " слово слово вода кот ア ア"
     rows = [(1, text, 9), (2, base, 9)]
     got = {r.doc_id: r for r in unify(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").collect()}
-    assert got[1].text == form and (got[1].variants + got[1].mixed > 0) == case and got[2].text == base
+    assert got[1].text == form and (got[1].rewritten + got[1].kept > 0) == case and got[2].text == base
 
 
 def test_rows(spark):
     rows = [(None, "ａ", 1), (1, "b", 1), (1, "b", 1), (2, "x​" * 50_000, 1)]
     got = unify(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").collect()
-    assert sorted((str(r.doc_id), len(r.text), r.variants) for r in got) == [("1", 1, 0), ("1", 1, 0), ("2", 50_000, 50_000), ("None", 1, 1)]
+    assert sorted((str(r.doc_id), len(r.text), r.rewritten) for r in got) == [("1", 1, 0), ("1", 1, 0), ("2", 50_000, 50_000), ("None", 1, 1)]
     assert unify(spark.createDataFrame([], SCHEMA), "doc_id", "text").count() == 0
