@@ -11,6 +11,7 @@ letters that mix scripts, so words wholly in one script stay as they are.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -73,6 +74,7 @@ Z - Ζ
 FORM_RANGES = ((0xA0, 0x3000), (0xF900, 0x10000), (0x1D400, 0x1D800), (0x1EE00, 0x1EF00), (0x2F800, 0x2FA20))  # blocks with forms of other characters
 SCRIPTS = ("Latin", "Cyrillic", "Greek")
 _RUN = regex.compile(r"\p{L}+")
+_BEYOND = re.compile(r"[\x00-\x7F]?[^\x00-\x7F]+")
 _FOREIGN = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
 _LATIN = regex.compile(r"\p{Latin}")
 _OF_SCRIPT = {s: regex.compile(rf"\p{{{s}}}") for s in SCRIPTS}
@@ -168,15 +170,41 @@ def letter_set() -> frozenset[str]:
     return frozenset(c for t in letters().values() for c in t)
 
 
-def automaton(replace: dict[str, str | None]):
-    """The automaton over all patterns that are to be replaced or reported."""
-    import ahocorasick
+class Scanner:
+    """The automaton over all patterns that are to be replaced or reported.
 
-    made = ahocorasick.Automaton()
-    for pattern, by in replace.items():
-        made.add_word(pattern, (len(pattern), by, is_variant(pattern)))
-    made.make_automaton()
-    return made
+    A pattern ends in one of ``ends`` and holds no ASCII beyond its first character, so only
+    stretches beyond ASCII with such an end, and the character before them, have to be scanned.
+    """
+
+    def __init__(self, replace: dict[str, str | None]):
+        import ahocorasick
+
+        self.made = ahocorasick.Automaton()
+        for pattern, by in replace.items():
+            self.made.add_word(pattern, (len(pattern), by, is_variant(pattern)))
+        self.made.make_automaton()
+        self.ends = frozenset(pattern[-1] for pattern in replace)
+
+    def rewrite(self, text: str) -> tuple[str, int, int]:
+        """(text after one turn, cases replaced, cases without another form)."""
+        done = kept = 0
+
+        def one(stretch: re.Match) -> str:
+            nonlocal done, kept
+            piece = stretch.group()
+            if self.ends.isdisjoint(piece):
+                return piece
+            out, at = [], 0
+            for end, (length, by, variant) in self.made.iter_long(piece):
+                done += variant and by is not None
+                kept += variant and by is None
+                if by is not None:
+                    out += [piece[at : end + 1 - length], by]
+                    at = end + 1
+            return "".join([*out, piece[at:]])
+
+        return _BEYOND.sub(one, text), done, kept
 
 
 def _one_script(run: str, rules: Rules) -> str:
@@ -201,7 +229,7 @@ def mixed_runs(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _RUN.finditer(text) if not m.group().isascii() and _FOREIGN.search(m.group()) and _LATIN.search(m.group())]
 
 
-def rewrite(text: str, rules: Rules, made) -> tuple[str, int, int]:
+def rewrite(text: str, rules: Rules, scanner: Scanner) -> tuple[str, int, int]:
     """(text in one form, cases rewritten, cases that have no other form and stay).
 
     A case is a member of a class that is a case by itself, or a mixed run; the automaton replaces
@@ -211,16 +239,14 @@ def rewrite(text: str, rules: Rules, made) -> tuple[str, int, int]:
         return text, 0, 0
     done = kept = 0
     for turn in range(3):
-        out, at = [], 0
-        for end, (length, by, variant) in made.iter_long(text):
-            done += variant and by is not None
-            kept += variant and by is None and not turn
-            if by is not None:
-                out += [text[at : end + 1 - length], by]
-                at = end + 1
-        if not out:
+        if scanner.ends.isdisjoint(text):
+            break
+        new, replaced, left = scanner.rewrite(text)
+        done += replaced
+        kept += left * (not turn)
+        if new == text:
             break
-        text = "".join([*out, text[at:]])
+        text = new
     for a, b in reversed(mixed_runs(text)):
         new = _one_script(text[a:b], rules)
         done += new != text[a:b]
@@ -267,9 +293,9 @@ def frequencies(df: DataFrame, text: str) -> dict[str, int]:
 
 def _run(rules: Rules, key: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]):
-        made = automaton(rules.replace)
+        scanner = Scanner(rules.replace)
         for batch in batches:
-            done = [(None, 0, 0) if t is None else rewrite(t, rules, made) for t in batch.column(1).to_pylist()]
+            done = [(None, 0, 0) if t is None else rewrite(t, rules, scanner) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([d[0] if with_text else None for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32())],
                 names=[key, "text", "rewritten", "kept"],

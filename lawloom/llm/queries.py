@@ -62,6 +62,12 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return key_pairs(links, members)
 
 
+def p3_sections(spark: SparkSession, root: str) -> DataFrame:
+    """The pairs of sections alone, whose texts SQL can read."""
+    links, members = near_duplicates(_compared(spark, root).where("tbl = 'law_section'"), threshold=0.8, words=3, least_words=20)
+    return key_pairs(links, members).select("key_a", "key_b")
+
+
 def p3_groups(spark: SparkSession, root: str) -> DataFrame:
     """The group of every compared text, and how many different texts it is like."""
     return grouped(*near_duplicates(_compared(spark, root), threshold=0.8, words=3, least_words=20))
@@ -98,6 +104,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
+    "p3_sections": p3_sections,
     "p3_groups": p3_groups,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
@@ -109,7 +116,14 @@ _WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 _RUNS = "SELECT DISTINCT {key}, array_to_string(words[i:i + 12], ' ') AS run FROM (SELECT {key}, words, unnest(range(1, len(words) - 11)) AS i FROM (SELECT {key}, " + _WORDS + " AS words FROM {table}))"
 _CASES = "[\\x{FF01}-\\x{FF5E}\\x{0300}-\\x{036F}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{00AD}\\x{00A0}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]"
 _MIXED = "\\p{Latin}\\p{L}*[\\p{Greek}\\p{Cyrillic}]|[\\p{Greek}\\p{Cyrillic}]\\p{L}*\\p{Latin}"
+_SECTIONS = f"""
+WITH runs AS (SELECT DISTINCT id, array_to_string(words[i:i + 2], ' ') AS run FROM (SELECT id, words, unnest(range(1, len(words) - 1)) AS i FROM (SELECT id, {_WORDS.replace('text', 'content_text')} AS words FROM law_section) WHERE len(words) >= 20)),
+sizes AS (SELECT id, count(*) AS n FROM runs GROUP BY id)
+SELECT a.id AS key_a, b.id AS key_b FROM runs a JOIN runs b ON a.run = b.run AND a.id < b.id JOIN sizes x ON x.id = a.id JOIN sizes y ON y.id = b.id
+GROUP BY a.id, b.id, x.n, y.n HAVING count(*) * 5 >= (x.n + y.n - count(*)) * 4
+"""
 ORACLE_SQL: dict[str, str] = {
+    "p3_sections": _SECTIONS,
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_found": f"SELECT DISTINCT d.doc_id, e.item_id FROM ({_RUNS.replace('{key}', 'doc_id').replace('{table}', 'documents')}) d JOIN ({_RUNS.replace('{key}', 'item_id').replace('{table}', 'eval_item')}) e USING (run)",
     "p10_found": f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{_CASES}|{_MIXED}')",
