@@ -1,4 +1,8 @@
-"""Rows of escaped delimited files that fail to parse, apart from those that load."""
+"""Rows of escaped delimited files that fail to parse, apart from those that load.
+
+Each distinct value of a checked column is judged once. The invalid ones form a dictionary that
+names the rule each breaks, and the reason of a row comes from there.
+"""
 
 from __future__ import annotations
 
@@ -75,37 +79,48 @@ def _valid(kind: Column, value: Column) -> Column:
     return F.coalesce(reduce(lambda c, r: c.when(kind == r[0], r[1]), rules.items(), F.when(F.lit(False), F.lit(True))), F.lit(False))
 
 
+def invalid_values(values: DataFrame) -> DataFrame:
+    """The dictionary (col, kind, raw, value_reason, value_detail) of values (col, kind, raw) that break their column's rule.
+
+    Each distinct value is judged once. ``value_detail`` names the column and what it must hold.
+    """
+    judged = values.select("col", "kind", "raw").distinct().where(~_valid(F.col("kind"), _decoded(F.col("raw"))))
+    detail = F.concat("col", F.lit(": not a "), F.col("kind"))
+    return judged.select("col", "kind", "raw", F.lit("value").alias("value_reason"), detail.alias("value_detail"))
+
+
 def parse_lines(df: DataFrame, row_id: str, file: str, line: str, layouts: dict[str, Layout] | None = None) -> DataFrame:
-    """(row_id, file, fields, reason): each line of a known file, its decoded fields, and why it fails.
-
-    Reasons, of which the first that applies is given: ``column_count``, ``quoting`` and
-    ``value``; null for rows that load. Structure is checked in the row. For values, each distinct
-    value of a checked column is judged once; the invalid ones form a dictionary with reasons that
-    is joined back. A null line is a line without fields and fails by its column count; lines of
-    unknown files are left out; a null file name is an unknown file. ``row_id`` must be unique.
-    Hot values are split by adaptive execution, as the join is one of large streams.
+    """(row_id, file, fields, reason, detail): each line, its decoded fields, and why it fails.
+
+    Reasons, of which the first that applies is given: ``unknown_file`` of a line whose file name
+    is null or has no layout, whose fields are null; ``column_count``, ``quoting`` and ``value``;
+    null for rows that load. Structure is checked in the row; ``detail`` says what was found. For
+    values, the dictionary of :func:`invalid_values` is joined back; of several in a row the first
+    column counts. A null line is a line without fields and fails by its column count. ``row_id``
+    must be unique. Hot values are split by adaptive execution, as the join is one of large streams.
     """
     layouts = layouts or LAYOUTS
     by_file = lambda value: F.coalesce(*[F.when(F.col("__file") == name, value(layout)) for name, layout in layouts.items()])
-    lines = df.select(df[row_id].alias("__id"), df[file].alias("__file"), F.coalesce(df[line], F.lit("")).alias("__line")).where(F.col("__file").isin(list(layouts)))
-    lines = lines.withColumn("__raw", _split(F.col("__line")))
+    known = F.coalesce(F.col("__file").isin(list(layouts)), F.lit(False))
+    lines = df.select(df[row_id].alias("__id"), df[file].alias("__file"), F.coalesce(df[line], F.lit("")).alias("__line"))
+    lines = lines.withColumn("__raw", F.when(known, _split(F.col("__line"))))
     control = F.exists("__raw", lambda f: f.rlike(r"(?<!\\)[\x00-\x08\x0a-\x1f]"))
+    width = by_file(lambda x: F.lit(len(x.columns)))
+    why = lambda reason, detail: F.struct(F.lit(reason).alias("reason"), detail.alias("detail"))
+    bad_field = F.array_position(F.transform("__raw", _badly_quoted), F.lit(True)).cast("string")
     structure = (
-        F.when(F.size("__raw") != by_file(lambda x: F.lit(len(x.columns))), "column_count")
-        .when(F.exists("__raw", _badly_quoted), "quoting")
-        .when(control, "value")
+        F.when(~known, why("unknown_file", F.coalesce("__file", F.lit("no file name"))))
+        .when(F.size("__raw") != width, why("column_count", F.concat(F.size("__raw").cast("string"), F.lit(" of "), width.cast("string"))))
+        .when(F.exists("__raw", _badly_quoted), why("quoting", F.concat(F.lit("field "), bad_field)))
+        .when(control, why("value", F.lit("a control character")))
     )
     lines = lines.select("__id", "__file", "__raw", structure.alias("__bad"))
 
-    checked = by_file(lambda x: F.array(*[F.struct(F.lit(c).alias("col"), F.lit(k).alias("kind"), F.get("__raw", x.columns.index(c)).alias("raw")) for c, k in x.kinds.items()]))
+    checked = by_file(lambda x: F.array(*[F.struct(F.lit(x.columns.index(c)).alias("at"), F.lit(c).alias("col"), F.lit(k).alias("kind"), F.get("__raw", x.columns.index(c)).alias("raw")) for c, k in x.kinds.items()]))
     values = lines.where("__bad is null").select("__id", F.explode(checked).alias("v")).select("__id", "v.*")
-    judged = values.select("col", "kind", "raw").distinct()
-    invalid = judged.where(~_valid(F.col("kind"), _decoded(F.col("raw")))).select("col", "kind", "raw")
-    failed = values.join(invalid, ["col", "kind", "raw"], "left_semi").select("__id").distinct().withColumn("__value", F.lit("value"))
-    both = lines.join(failed, "__id", "left")
-    return both.select(
-        F.col("__id").alias(row_id), F.col("__file").alias(file), F.transform("__raw", _decoded).alias("fields"), F.coalesce("__bad", "__value").alias("reason")
-    )
+    failed = values.join(invalid_values(values), ["col", "kind", "raw"]).groupBy("__id").agg(F.min_by(F.struct(F.col("value_reason").alias("reason"), F.col("value_detail").alias("detail")), "at").alias("__value"))
+    both = lines.join(failed, "__id", "left").withColumn("__why", F.coalesce("__bad", "__value"))
+    return both.select(F.col("__id").alias(row_id), F.col("__file").alias(file), F.transform("__raw", _decoded).alias("fields"), F.col("__why.reason").alias("reason"), F.col("__why.detail").alias("detail"))
 
 
 def loaded(parsed: DataFrame, row_id: str, file: str, name: str) -> DataFrame:
@@ -114,5 +129,5 @@ def loaded(parsed: DataFrame, row_id: str, file: str, name: str) -> DataFrame:
 
 
 def rejected(parsed: DataFrame, row_id: str) -> DataFrame:
-    """(row_id, reason) of the rows that fail."""
-    return parsed.where("reason is not null").select(row_id, "reason")
+    """(row_id, reason, detail) of the rows that fail."""
+    return parsed.where("reason is not null").select(row_id, "reason", "detail")

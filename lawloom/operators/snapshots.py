@@ -38,8 +38,11 @@ def _differing(nodes: DataFrame, pairs: DataFrame, parents: DataFrame | None) ->
     return same.where(~(F.col("prev_x").eqNullSafe(F.col("cur_x")) & F.col("prev_y").eqNullSafe(F.col("cur_y")))).select("prev", "cur", "bucket")
 
 
-def snapshot_changes(df: DataFrame, snapshot: str, key: str, loaded: str, compared: list[str], *, leaf_rows: int = 64) -> DataFrame:
-    """(key, snapshot, change): keys added, removed or changed against the snapshot before.
+def snapshot_changes(df: DataFrame, snapshot: str, key: str, loaded: str, compared: list[str], *, part: str | None = None, leaf_rows: int = 64) -> DataFrame:
+    """(part, key, snapshot, change): keys added, removed or changed against the snapshot before.
+
+    ``part`` names a column, such as a table's name, whose values have snapshots of their own; all
+    are compared at once. Without it the result has no such column.
 
     A row belongs to its ``snapshot`` however late it was loaded. Where a key occurs more than
     once in a snapshot, the row with the latest ``loaded`` counts, a null one being the earliest;
@@ -51,8 +54,9 @@ def snapshot_changes(df: DataFrame, snapshot: str, key: str, loaded: str, compar
     ``leaf_rows`` keys a leaf. The digests of neighbouring snapshots are compared from the root
     down, and rows only in leaves that differ, so like snapshots cost little beyond one pass.
     """
-    rows = df.where(df[snapshot].isNotNull() & df[key].isNotNull()).select(
-        df[snapshot].alias("snap"), df[key].alias("key"), F.struct(df[loaded].alias("at"), row_digest([df[c] for c in compared]).alias("digest")).alias("row")
+    of = df[part] if part else F.lit("")
+    rows = df.where(df[snapshot].isNotNull() & df[key].isNotNull() & of.isNotNull()).select(
+        F.struct(of.alias("part"), df[snapshot].alias("at")).alias("snap"), df[key].alias("key"), F.struct(df[loaded].alias("at"), row_digest([df[c] for c in compared]).alias("digest")).alias("row")
     )
     latest = cut(rows.groupBy("snap", "key").agg(F.max("row").alias("row")).select("snap", "key", F.xxhash64("key").alias("h"), F.col("row.digest").alias("digest")))
     size = latest.groupBy("snap").count().agg(F.max("count")).first()[0] or 0
@@ -62,7 +66,7 @@ def snapshot_changes(df: DataFrame, snapshot: str, key: str, loaded: str, compar
     latest = latest.withColumn("bucket", F.shiftrightunsigned("h", 64 - FANOUT_BITS * depth))
 
     snaps = latest.select("snap").distinct()  # one row a delivery
-    pairs = cut(snaps.select(F.lag("snap").over(Window.orderBy("snap")).alias("prev"), F.col("snap").alias("cur")).where("prev is not null"))
+    pairs = cut(snaps.select(F.lag("snap").over(Window.partitionBy("snap.part").orderBy("snap.at")).alias("prev"), F.col("snap").alias("cur")).where("prev is not null"))
     levels = [cut(latest.groupBy("snap", "bucket").agg(*_combined(F.col("key"), F.col("digest"))))]
     for _ in range(depth):
         below = levels[-1].withColumn("parent", F.shiftright("bucket", FANOUT_BITS))
@@ -75,7 +79,8 @@ def snapshot_changes(df: DataFrame, snapshot: str, key: str, loaded: str, compar
         latest.join(differ.withColumn("snap", F.col(side)), ["snap", "bucket"]).select("prev", "cur", "key", "digest", F.lit(side).alias("side"))
         for side in ("prev", "cur")
     ]
-    of = lambda s: F.max(F.when(F.col("side") == s, F.col("digest"))).alias(s + "_digest")
-    both = reduce(DataFrame.unionByName, sides).groupBy("prev", "cur", "key").agg(of("prev"), of("cur"))
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("digest"))).alias(s + "_digest")
+    both = reduce(DataFrame.unionByName, sides).groupBy("prev", "cur", "key").agg(side("prev"), side("cur"))
     change = F.when(F.col("prev_digest").isNull(), "added").when(F.col("cur_digest").isNull(), "removed").when(F.col("prev_digest") != F.col("cur_digest"), "changed")
-    return both.select(F.col("key").alias(key), F.col("cur").alias(snapshot), change.alias("change")).where("change is not null")
+    names = [F.col("cur.part").alias(part)] if part else []
+    return both.select(*names, F.col("key").alias(key), F.col("cur.at").alias(snapshot), change.alias("change")).where("change is not null")

@@ -136,7 +136,8 @@ def test_section_lines(spark):
     lines = [good, good.replace("`1999`", "\\N"), *bad]
     df = spark.createDataFrame([(k, "LAW_SECTION_TBL.dat", x) for k, x in enumerate(lines)] + [(9, "OTHER.dat", good), (10, None, good)], "raw_id int, file_name string, line string")
     parsed = parse_lines(df, "raw_id", "file_name", "line")
-    assert {r.raw_id: r.reason for r in rejected(parsed, "raw_id").collect()} == {2: "value", 3: "value", 4: "value"}
+    assert {r.raw_id: r.reason for r in rejected(parsed, "raw_id").collect()} == {2: "value", 3: "value", 4: "value", 9: "unknown_file", 10: "unknown_file"}
+    assert {r.raw_id: r.detail for r in rejected(parsed, "raw_id").collect()} == {2: "op_statutes: not a year or null", 3: "active_flg: not a flag", 4: "effective_date: not a time or null", 9: "OTHER.dat", 10: "no file name"}
     rows = {r.raw_id: r for r in loaded(parsed, "raw_id", "file_name", "LAW_SECTION_TBL.dat").collect()}
     assert set(rows) == {0, 1} and rows[0].op_statutes == "1999" and rows[1].op_statutes is None and rows[0].history == "note"
     assert loaded(parsed, "raw_id", "file_name", "LAW_SECTION_TBL.dat").columns == ["raw_id", *LAYOUTS["LAW_SECTION_TBL.dat"].columns]
@@ -154,6 +155,9 @@ def test_broken_references(spark):
     known = validity(parents, ["key"], parents["flag"] == "Y", "since")
     got = sorted((r.id, r.reason) for r in broken_references(refs, ["key"], known).collect())
     assert got == [(2, "deleted"), (3, "late"), (5, "missing"), (5, "missing")]
+    assert sorted((r.id, r.reason) for r in broken_references(refs, ["key"], known, small=True).collect()) == got
+    spans = {r.k0: (r.valid_from, r.valid_to, r.open) for r in validity(parents, ["key"], parents["flag"] == "Y", "since", "since").collect()}
+    assert spans == {"K1": (t(1), None, True), "K2": (t(1), t(1), False), "K3": (t(5), None, True), "K4": (None, None, True)}
     assert broken_references(refs.limit(0), ["key"], known).count() == 0
     assert {r.reason for r in broken_references(refs, ["key"], known.limit(0)).collect()} == {"missing"}
 
