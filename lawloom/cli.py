@@ -41,8 +41,9 @@ def _build(spark, args) -> int:
     tables, bad = {}, {}
     for name, columns in layout.items():
         tables[name], wrong = load_table(spark, os.path.join(args.source, f"{name.upper()}_TBL.dat"), columns)
-        bad[name] = sum(r.bad for r in wrong.collect())
-    version = publish(tables, args.out, json.loads(args.meta))
+        bad[name] = wrong.count()
+    indexes = {name: keys for name, keys in {"law_section": ("id", "content_text")}.items() if name in tables and set(keys) <= set(tables[name].columns)}
+    version = publish(tables, args.out, json.loads(args.meta), indexes=indexes)
     print(report({"version": version}, bad_rows=bad, rows={n: t.count() for n, t in tables.items()}))
     return 0
 

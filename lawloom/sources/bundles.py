@@ -7,6 +7,8 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +43,14 @@ def with_blobs(rows: DataFrame, name: str, stores: list[DataFrame]) -> DataFrame
 def read_members(spark: SparkSession, keys: DataFrame, path: str) -> DataFrame:
     """(key, lob_file, body, error): members of a zip for rows (key, lob_file), each task reading its own.
 
-    Names travel to the tasks, bytes do not; a broken or absent member is an error of its row.
+    ``path`` is a file, or a URI of a store that all executors reach, of which only the members
+    asked for are read. Names travel to the tasks, bytes do not; a broken or absent member is an
+    error of its row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        with zipfile.ZipFile(path) as z:
+        store, inside = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        with store.open_input_file(inside) as opened, zipfile.ZipFile(opened) as z:
             for batch in batches:
                 out = []
                 for key, name in zip(*(c.to_pylist() for c in batch.columns)):
@@ -75,11 +80,14 @@ def ingest_sessions(spark: SparkSession, sessions: dict[str, Callable[[], DataFr
 
     Sessions with a marker are skipped, those without one are written again from the start, and
     one that fails is reported while the others go on. The data comes first, the marker last, so
-    a run that stops anywhere is resumed by the next.
+    a run that stops anywhere is resumed by the next. Markers that are there but cannot be read
+    end the run, as everything would be written again otherwise.
     """
     try:
         ready = {r.session for r in spark.read.parquet(done).select(F.col("session").cast("string").alias("session")).collect()}
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         ready = set()
     report = {}
     for session, load in sorted(sessions.items()):

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import glob
 import os
 import re
 import warnings
 from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+ROWS_AT_ONCE = 10_000
 
 # What an escaped letter stands for; other characters stand for themselves.
 ESCAPES = {"0": "\x00", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
@@ -67,59 +69,39 @@ def plain_fields(line: Column) -> Column:
     return F.transform(F.split(line, "\t", -1), value)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, width: int, options):
-        self.width, self.pattern = width, options.get("path", "")
-
-    def partitions(self):
-        return [_File(p) for p in sorted(glob.glob(self.pattern) if any(c in self.pattern for c in "*?[") else [self.pattern]) if os.path.exists(p)]
-
-    def read(self, partition):
-        if partition is None or not hasattr(partition, "path"):
-            return
-        with open(partition.path, "rb") as f:
-            rows = parse_text(decode(f.read()))
-        for number, row in enumerate(rows):
-            fits = len(row) == self.width
-            yield (*(row if fits else [None] * self.width), os.path.basename(partition.path), str(number), str(len(row)))
-
+def _parsed(width: int):
+    """Rows of files (path, content): their fields, or null ones and all fields where the number differs."""
 
-class EscapedSource(DataSource):
-    """``spark.read.format("escaped").option("columns", "a,b").load(path)``: one task a file.
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = enumerate(parse_text(decode(content.as_buffer().to_pybytes())))
+                while part := list(islice(rows, ROWS_AT_ONCE)):
+                    fit = [len(row) == width for _, row in part]
+                    columns = [pa.array([row[k] if ok else None for (_, row), ok in zip(part, fit)], pa.string()) for k in range(width)]
+                    file = pa.array([os.path.basename(path)] * len(part), pa.string())
+                    wrong = pa.array([None if ok else row for (_, row), ok in zip(part, fit)], pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([*columns, file, pa.array([n for n, _ in part], pa.int64()), wrong], names=[*map(str, range(width)), "_file", "_row", "_fields"])
 
-    A field may hold line ends, so a file is read as a whole; give exports as many files. Columns
-    are strings; _file, _row and _arity say where a row stood and how many fields it had.
-    """
-
-    @classmethod
-    def name(cls):
-        return "escaped"
-
-    def _columns(self):
-        return [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
-
-    def schema(self):
-        return StructType([StructField(c, StringType()) for c in (*self._columns(), "_file", "_row", "_arity")])
-
-    def reader(self, schema):
-        return _Reader(len(self._columns()), self.options)
+    return run
 
 
 def load_table(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows with the right number of fields, counts of the others by file); an absent file is empty.
+    """(rows with the right number of fields, the others with all their fields); absent files are empty.
 
-    Rows keep their place: ``_row`` makes ties of later sorts total.
+    Files are read by Spark, wherever it can read. As a field may hold line ends, a file (of at
+    most 2 GB) is one task; give exports as many files, or, where a record is one line, take
+    ``operators.rejects``. Rows have the columns, ``_file`` and ``_row``, their place, which makes
+    ties of later sorts total; the others have _file, _row, _arity and _fields.
     """
-    spark.dataSource.register(EscapedSource)
-    if not (glob.glob(path) if any(c in path for c in "*?[") else os.path.exists(path)):
+    names = [f"`{c}` string" for c in (*map(str, range(len(columns))), "_file")]
+    try:
+        files = spark.read.format("binaryFile").load(path).select("path", "content")
+        raw = files.mapInArrow(_parsed(len(columns)), ", ".join([*names, "_row bigint", "_fields array<string>"]))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         warnings.warn(f"{path} is not there; its table is empty", stacklevel=2)
-        empty = spark.createDataFrame([], StructType([StructField(c, StringType()) for c in columns]).add("_file", StringType()).add("_row", LongType()))
-        return empty, spark.createDataFrame([], "_file string, bad bigint")
-    raw = spark.read.format("escaped").option("columns", ",".join(columns)).load(path)
-    fits = F.col("_arity") == str(len(columns))
-    return raw.where(fits).withColumn("_row", F.col("_row").cast("bigint")).drop("_arity"), raw.groupBy("_file").agg(F.count_if(~fits).alias("bad"))
+        raw = spark.createDataFrame([], ", ".join([*names, "_row bigint", "_fields array<string>"]))
+    rows = raw.where("_fields is null").select(*[F.col(f"`{k}`").alias(c) for k, c in enumerate(columns)], "_file", "_row")
+    return rows, raw.where("_fields is not null").select("_file", "_row", F.size("_fields").alias("_arity"), "_fields")
