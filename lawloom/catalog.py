@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from lawloom.functions.keys import CodeBook, format_session
+from lawloom.operators.search import Index, read_index
 from lawloom.sources.artifacts import current, meta_of
 
 OPTIONAL = {
@@ -44,6 +46,16 @@ class Store:
         return self.spark.createDataFrame([], OPTIONAL[name])
 
 
+    def index(self, name: str) -> Index | None:
+        """The stored full-text index of a table; None where none was published."""
+        if isinstance(self._tables, dict):
+            return None
+        try:
+            return read_index(self.spark, f"{self._tables}/{name}.index")
+        except AnalysisException:
+            return None
+
+
 class Catalog:
     """What the tools read: the current store, maybe an archive, and facts about them."""
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lawloom.operators.search import bm25, corpus_size, matches_text, matching, parse_match, postings, snippet, spaced, terms
+from lawloom.operators.search import Index, bm25, corpus_size, matches_text, matching, parse_match, postings, read_index, snippet, terms, words_of, write_index
+from lawloom.plans.durable import checkpoint_folder
 from lawloom.sources.tables import table
 
 _LOW = "strip_accents(lower(text))"
@@ -43,9 +46,9 @@ def f1_postings(spark: SparkSession, root: str) -> DataFrame:
     return postings(_docs(spark, root), "doc_id", "text", with_positions=False).groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("occurrences"))
 
 
-def _best(docs: DataFrame, asked: DataFrame, **more) -> DataFrame:
-    posted = postings(docs, "doc_id", "text", with_positions=False)
-    return bm25(asked, "query", "term", posted, "doc_id", corpus_size(docs, "text"), 10, **more)
+def _best(docs: DataFrame, asked: DataFrame, within: str | None = None) -> DataFrame:
+    posted = postings(docs, "doc_id", "text", with_positions=False, carried=within)
+    return bm25(asked, "query", "term", posted, "doc_id", corpus_size(docs, "text"), 10, within=within)
 
 
 def f3_postings(spark: SparkSession, root: str) -> DataFrame:
@@ -65,14 +68,33 @@ def f5_filtered(spark: SparkSession, root: str) -> DataFrame:
     """the same among documents of the asking document's source, with weights of the whole corpus."""
     docs = _docs(spark, root)
     mine = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "source")
-    allowed = mine.join(docs.select("doc_id", "source"), "source").select("query", "doc_id")
-    best = _best(docs, _asked(docs), allowed=allowed)
+    best = _best(docs, _asked(docs).join(mine, "query"), "source")
     return best.select("query", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def _stored(spark: SparkSession, root: str) -> Index:
+    """An index of all documents, stored in the shared checkpoint folder."""
+    path = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    write_index(_docs(spark, root), "doc_id", "text", path)
+    return read_index(spark, path)
+
+
+def f1_index(spark: SparkSession, root: str) -> DataFrame:
+    """The best documents of each asked query from a stored index."""
+    index, asked = _stored(spark, root), _asked(_docs(spark, root))
+    best = bm25(asked, "query", "term", index.joined(asked, "term"), "doc_id", index.size, 10)
+    return best.select("query", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def f3_index(spark: SparkSession, root: str) -> DataFrame:
+    """A boolean expression from a stored index, of which only the asked terms are read."""
+    tree = parse_match("(agency OR dealer) AND shall NOT vehicle")
+    return matching(tree, _stored(spark, root).of(*words_of(tree)), "doc_id")
+
+
 def _match(expression: str):
     def run(spark: SparkSession, root: str) -> DataFrame:
-        return _docs(spark, root).where(matches_text(parse_match(expression), spaced(F.col("text")))).select("doc_id")
+        return _docs(spark, root).where(matches_text(parse_match(expression), F.col("text"))).select("doc_id")
 
     return run
 
@@ -94,6 +116,8 @@ QUERIES = {
     "f3_boolean": _match("(agency OR dealer) AND shall NOT vehicle"),
     "f3_prefix": _match("regist*"),
     "f3_postings": f3_postings,
+    "f1_index": f1_index,
+    "f3_index": f3_index,
     "f4_bm25": f4_bm25,
     "f5_filtered": f5_filtered,
     "f6_snippet": f6_snippet,
@@ -104,6 +128,8 @@ ORACLE_SQL = {
     "f3_near": f"WITH {_BASE}, p AS (SELECT doc_id, term, pos FROM (SELECT doc_id, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM docs)) SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'agency' AND b.term = 'dealer' AND abs(a.pos - b.pos) - 1 <= 5",
     "f3_boolean": f"WITH {_BASE} SELECT doc_id FROM docs WHERE (list_contains(terms, 'agency') OR list_contains(terms, 'dealer')) AND list_contains(terms, 'shall') AND NOT list_contains(terms, 'vehicle')",
     "f3_postings": f"WITH {_BASE} SELECT doc_id FROM docs WHERE (list_contains(terms, 'agency') OR list_contains(terms, 'dealer')) AND list_contains(terms, 'shall') AND NOT list_contains(terms, 'vehicle')",
+    "f3_index": f"WITH {_BASE} SELECT doc_id FROM docs WHERE (list_contains(terms, 'agency') OR list_contains(terms, 'dealer')) AND list_contains(terms, 'shall') AND NOT list_contains(terms, 'vehicle')",
+    "f1_index": f"WITH {_BASE} " + _SCORE.format(""),
     "f3_prefix": f"WITH {_BASE} SELECT DISTINCT doc_id FROM posted WHERE starts_with(term, 'regist')",
     "f4_bm25": f"WITH {_BASE} " + _SCORE.format(""),
     "f5_filtered": f"WITH {_BASE} " + _SCORE.format("JOIN docs x ON true JOIN docs y ON true WHERE x.doc_id = a.query AND y.doc_id = p.doc_id AND x.source = y.source"),

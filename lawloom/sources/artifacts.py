@@ -7,6 +7,23 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lawloom.operators.search import write_index
+
+
+#: Columns that the query tools look tables up by.
+LOOKUPS = {
+    "law_section": ("law_code", "section_num_norm"),
+    "law_toc": ("law_code", "node_treepath"),
+    "law_toc_sections": ("law_code", "section_num"),
+    "bill": ("measure_type", "measure_num", "session_year"),
+    "bill_version": ("bill_id", "version_num"),
+    "bill_version_text": ("bill_version_id",),
+    "bill_section_ref": ("law_code", "section"),
+    "bill_history": ("bill_id", "action_date"),
+    "bill_analysis": ("bill_id", "analysis_id"),
+    "analysis_text": ("analysis_id",),
+}
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -14,9 +31,13 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def publish(tables: dict[str, DataFrame], root: str, meta: dict[str, str], version: str | None = None) -> str:
+def publish(tables: dict[str, DataFrame], root: str, meta: dict[str, str], version: str | None = None, *, indexes: dict[str, tuple[str, str]] | None = None, sorted_by: dict[str, tuple[str, ...]] | None = None) -> str:
     """Writes a version of all tables and makes it the current one; returns its name.
 
+    ``indexes`` has the key and text column of tables that get a full-text index, ``sorted_by`` the
+    columns by which tables are partitioned and sorted for lookups (LOOKUPS if not given), so that
+    a filter on them skips files and row groups.
+
     Readers see the whole version or none: it is written beside the others, and only then the
     pointer is put in place by a rename. A failure leaves the pointer as it was and removes what
     was written.
@@ -26,7 +47,11 @@ def publish(tables: dict[str, DataFrame], root: str, meta: dict[str, str], versi
     fs, path = _fs(spark, root)
     try:
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{root}/{version}/{name}.parquet")
+            columns = [c for c in (LOOKUPS if sorted_by is None else sorted_by).get(name, ()) if c in df.columns]
+            placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns) if columns else df
+            placed.write.mode("overwrite").parquet(f"{root}/{version}/{name}.parquet")
+        for name, (key, text) in (indexes or {}).items():
+            write_index(tables[name], key, text, f"{root}/{version}/{name}.index")
         spark.createDataFrame([(k, str(v)) for k, v in sorted(meta.items())], "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{root}/{version}/meta.parquet")
     except Exception:
         fs.delete(path(f"{root}/{version}"), True)

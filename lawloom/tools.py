@@ -17,7 +17,7 @@ from lawloom.functions.keys import chapter_citation, format_session, norm_sessio
 from lawloom.operators.intervals import leading_number
 from lawloom.operators.matching import matches
 from lawloom.operators.relational import ancestors
-from lawloom.operators.search import MatchError, corpus_size, matching, parse_or_quote, postings, scores, snippet
+from lawloom.operators.search import MatchError, corpus_size, matching, parse_or_quote, postings, scores, snippet, words_of
 from lawloom.operators.versions import version_order
 
 WHOLE_TEXT = 50_000
@@ -103,6 +103,17 @@ class Tools:
         toc = self.c.now("law_toc").where(F.col("law_code") == code).select("node_treepath", "heading")
         return [r.heading for r in _rows(paths.join(toc, "node_treepath").orderBy("depth").select("heading")) if r.heading]
 
+    def _headings(self, sections: list[tuple[str, str]]) -> dict[tuple[str, str], str]:
+        """The nearest heading above each of a few sections, by one join."""
+        if not sections:
+            return {}
+        asked = F.broadcast(self.c.spark.createDataFrame(sorted(set(sections)), "law_code string, key string"))  # the rows of one answer
+        place = self.c.now("law_toc_sections").withColumn("key", F.rtrim(F.trim("section_num"), F.lit("."))).join(asked, ["law_code", "key"]).groupBy("law_code", "key").agg(F.min("node_treepath").alias("path"))
+        paths = place.select("law_code", "key", F.posexplode(ancestors(F.col("path"))).alias("depth", "node_treepath"))
+        toc = self.c.now("law_toc").where("heading is not null and heading <> ''").select("law_code", "node_treepath", "heading")
+        found = paths.join(toc, ["law_code", "node_treepath"]).groupBy("law_code", "key").agg(F.max_by("heading", "depth").alias("heading"))
+        return {(r.law_code, r.key): r.heading for r in _rows(found)}
+
     # --- sections
 
     def get_section(self, code: str, section: str) -> dict:
@@ -139,19 +150,20 @@ class Tools:
         except MatchError as e:
             raise _Refused(error=f"Cannot search for {query!r}: {e}.", hint='Use words, "phrases", AND, OR, NOT, NEAR(a b, 5) or prefix*.') from None
         law = self.c.now("law_section").select("id", "law_code", "section_num_norm", "content_text").where("content_text is not null")
-        posted = postings(law, "id", "content_text")
+        index = self.c.now.index("law_section")
+        posted, size = (index.of(*words_of(tree)), index.size) if index else (postings(law, "id", "content_text"), corpus_size(law, "content_text"))
         found = matching(tree, posted, "id")
         words = sorted(set(_words(tree)))
         allowed = found if code is None else found.join(law.where(F.col("law_code") == code), "id", "left_semi")
-        scored = scores(words, posted, "id", corpus_size(law, "content_text"))
+        scored = scores(words, posted, "id", size)
         best = allowed.join(scored, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).orderBy(F.round("score", 9).desc(), "id").limit(limit)
         shown = F.array(*[F.lit(w) for w in words]).cast("array<string>")
         rows = _rows(best.join(law, "id").select("law_code", "section_num_norm", "score", "id", snippet(F.col("content_text"), shown).alias("snippet")))
         rows.sort(key=lambda r: (-round(r.score, 9), r.id))
         if not rows:
             notes.append("Nothing matches. All terms must occur unless joined by OR; words are not stemmed.")
-        heads = [(self._hierarchy(r.law_code, r.section_num_norm) or [None])[-1] for r in rows]
-        return {"query": query, "results": [{"code": r.law_code, "section": r.section_num_norm, "heading": h, "snippet": r.snippet} for r, h in zip(rows, heads)]}
+        heads = self._headings([(r.law_code, r.section_num_norm) for r in rows])
+        return {"query": query, "results": [{"code": r.law_code, "section": r.section_num_norm, "heading": heads.get((r.law_code, r.section_num_norm)), "snippet": r.snippet} for r in rows]}
 
     def bills_affecting_section(self, code: str, section: str) -> dict:
         """Bills whose latest version touches a section, and how."""
