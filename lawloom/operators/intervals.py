@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,34 +54,32 @@ def band(left: DataFrame, value: str, right: DataFrame, other: str, width: float
 def nearest(queries: DataFrame, query: str, value: str, rows: DataFrame, row: str, other: str, on: list[str], k: int, *, width: float = 64.0) -> DataFrame:
     """The ``k`` rows nearest to each query within equal ``on`` columns: (on, query, row, gap, rank).
 
-    Ties go to the smaller ``row``. Queries first look within ``width``; those with fewer than k
-    rows that near look four times as far, and so on, so no query meets all rows of a hot group
-    unless they are that near. ``query`` and ``row`` must be unique within ``on``.
+    Ties go to the smaller ``row``. Rows of a group are numbered in order of ``other``, and so a
+    query's nearest ones are k numbers below its place and k above: a join on equal numbers,
+    2 k rows a query, however large the group. Of rows with one ``other`` only the k smallest can
+    be among them, so no more are kept. Places are counted in slices of ``width``, to which the
+    count of the slices before is added, so a hot group is split. Nulls in ``value``, ``other`` and
+    the group match nothing; ``query`` and ``row`` must be unique within ``on``.
     """
-    asked = queries.select(*on, query, value).where(F.col(value).isNotNull())
-    held = rows.select(*on, row, other).where(F.col(other).isNotNull())
-    reach = held.agg(F.max(F.abs(other)).alias("m")).first()["m"]
-    top = asked.agg(F.max(F.abs(value)).alias("m")).first()["m"]
-    found = []
-    rank = Window.partitionBy(*on, query).orderBy("gap", row)
-    while reach is not None and top is not None:
-        last = width > 2 * (reach + top)
-        a = asked.withColumn("__bucket", F.explode(F.array(*[F.floor(F.col(value) / width) + d for d in (-1, 0, 1)])))
-        b = held.withColumn("__bucket", F.floor(F.col(other) / width))
-        met = a.join(b, [*on, "__bucket"]).withColumn("gap", F.abs(F.col(value) - F.col(other))).where(F.col("gap") <= width)
-        best = met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(*on, query, row, "gap", "rank")
-        if last:
-            found.append(best)
-            break
-        full = best.where(F.col("rank") == k).select(*on, query)
-        found.append(best.join(full, [*on, query], "left_semi"))
-        asked = asked.join(full, [*on, query], "left_anti")
-        width *= 4
-        if len(found) > 3:
-            width *= 16
-    if not found:
-        return asked.join(held, on).where(F.lit(False)).select(*on, query, row, F.lit(0.0).alias("gap"), F.lit(0).alias("rank"))
-    return reduce(DataFrame.unionByName, found)
+    least = Window.partitionBy(*on, "__v").orderBy("__row")
+    held = rows.select(*on, F.col(row).alias("__row"), F.col(other).cast("double").alias("__v")).where(F.col(other).isNotNull())
+    held = held.withColumn("__n", F.row_number().over(least)).where(F.col("__n") <= k).drop("__n").withColumn("__s", F.floor(F.col("__v") / width))
+    asked = queries.select(*on, F.col(query).alias("__query"), F.col(value).cast("double").alias("__v")).where(F.col(value).isNotNull()).withColumn("__s", F.floor(F.col("__v") / width))
+    sizes = held.groupBy(*on, "__s").agg(F.count(F.lit(1)).alias("__c")).unionByName(asked.select(*on, "__s").distinct().withColumn("__c", F.lit(0).cast("bigint"))).groupBy(*on, "__s").agg(F.sum("__c").alias("__c"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__c").over(Window.partitionBy(*on).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
+    slice_of = Window.partitionBy(*on, "__s")
+    placed = held.join(before, [*on, "__s"])
+    placed = placed.withColumn("__down", F.col("__before") + F.row_number().over(slice_of.orderBy("__v", F.desc("__row")))).withColumn("__up", F.col("__before") + F.row_number().over(slice_of.orderBy("__v", "__row")))
+    places = F.array(F.struct(F.lit(0).alias("__above"), F.col("__down").alias("__place")), F.struct(F.lit(1).alias("__above"), F.col("__up").alias("__place")))
+    numbered = placed.withColumn("__p", F.explode(places)).select(*on, "__row", F.col("__v").alias("__other"), "__p.*")
+    both = asked.withColumn("__one", F.lit(0)).unionByName(held.drop("__row").withColumn("__query", F.lit(None).cast(asked.schema["__query"].dataType)).withColumn("__one", F.lit(1)))
+    inside = both.withColumn("__le", F.sum("__one").over(slice_of.orderBy("__v").rangeBetween(Window.unboundedPreceding, Window.currentRow))).where("__one = 0")
+    spots = inside.join(before, [*on, "__s"]).withColumn("__at", F.col("__before") + F.col("__le"))
+    wanted = F.transform(F.sequence(F.lit(1 - k), F.lit(k)), lambda d: F.struct(F.when(d > 0, 1).otherwise(0).alias("__above"), (F.col("__at") + d).alias("__place")))
+    met = spots.withColumn("__p", F.explode(wanted)).select(*on, "__query", "__v", "__p.*").join(numbered, [*on, "__above", "__place"])
+    rank = Window.partitionBy(*on, "__query").orderBy("gap", "__row")
+    found = met.withColumn("gap", F.abs(F.col("__v") - F.col("__other"))).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    return found.select(*on, F.col("__query").alias(query), F.col("__row").alias(row), "gap", "rank")
 
 
 def as_of(anchors: DataFrame, candidates: DataFrame, key: str, time: str, value: str, *, slice_seconds: int = 86_400) -> DataFrame:

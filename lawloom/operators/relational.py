@@ -35,9 +35,14 @@ def flagged(df: DataFrame, keys: list[str], present: DataFrame, flag: str) -> Da
     return df.join(known, keys, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def ordered_distinct(values: Column, order: Column) -> Column:
-    """Aggregate: distinct values in the order in which they first occur; nulls are left out."""
-    return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(values.isNotNull(), F.struct(order.alias("o"), values.alias("v"))))), lambda x: x["v"]))
+def ordered_distinct(df: DataFrame, keys: list[str], value: str, order: str, name: str) -> DataFrame:
+    """(keys, name): the distinct values of each key in the order in which they first occur.
+
+    A value's first place is a minimum, reduced before it moves, so a list is as long as a key has
+    distinct values. Null values are left out; ties go to the smaller value.
+    """
+    first = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("__first"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__first", value))), lambda x: x[value]).alias(name))
 
 
 def ancestors(path: Column, separator: str = ".") -> Column:

@@ -85,6 +85,47 @@ def parse_histories(df: DataFrame, key: str, note: str) -> DataFrame:
     return map_rows(df, {"key": df[key], "note": df[note]}, work, f"`{key}` {_kind(df, key)}, pos int, event {EVENT}")
 
 
+LADDER = ("added", "note", "lineage", "sibling", "earlier_chapter", "untraceable")
+
+
+def prior_ladder(anchors: DataFrame, on: list[str], earlier: DataFrame) -> DataFrame:
+    """(on, anchor_id, rung, year, chapter, act_section): the version before each of many versions.
+
+    ``anchors`` has the columns on, anchor_id, note, action, lineage, sibling, year and chapter:
+    the note or the block of a version, the lineage of a repealed block beside it, and the chapter
+    that made it. ``earlier`` (on, anchor_id, year, chapter) has the chapter enacted before it, as
+    ``versions.prior_chapter`` finds it. The first rung that names a chapter counts:
+
+    ``added``: there is no version before it; ``note``: an earlier version in the note's
+    parentheses; ``lineage`` of the block, unless it names the version itself; ``sibling``: that of
+    the repealed block; ``earlier_chapter``; else ``untraceable``. Chapters are null for the first
+    and the last. Nulls anywhere skip a rung.
+    """
+
+    def work(note, action, lineage, sibling, year, chapter, **key):
+        rung, found = None, (None, None, None)
+        if (action or "").startswith("added") or (note or "").lower().startswith("added"):
+            rung = "added"
+        elif named := next((e for e in C.parse_history(note) if e.role == "prior_version" and e.kind == "chapter"), None):
+            rung, found = "note", (named.year, named.chapter, C.note_hints(note).get((named.year, named.chapter, named.ex_session)))
+        else:
+            for name, phrase in (("lineage", lineage), ("sibling", sibling)):
+                node = C.lineage_node(phrase)
+                if node and node[:2] != (year, chapter):
+                    rung, found = name, node
+                    break
+        yield *key.values(), rung, *found
+
+    keys = [*on, "anchor_id"]
+    inputs = {c: anchors[c] for c in (*keys, "note", "action", "lineage", "sibling", "year", "chapter")}
+    told = map_rows(anchors, inputs, work, ", ".join([*(f"`{c}` {_kind(anchors, c)}" for c in keys), "rung string", "year int", "chapter int", "act_section string"]))
+    last = earlier.select(*keys, F.col("year").alias("__year"), F.col("chapter").alias("__chapter"))
+    both = told.join(last, keys, "left")
+    rung = F.coalesce("rung", F.when(F.col("__chapter").isNotNull(), "earlier_chapter"), F.lit("untraceable"))
+    own = lambda c, other: F.when(F.col("rung").isNotNull(), F.col(c)).otherwise(F.col(other)).alias(c)
+    return both.select(*keys, rung.alias("rung"), own("year", "__year"), own("chapter", "__chapter"), "act_section")
+
+
 def enacting_blocks(df: DataFrame, key: str, body: str, *, packed: bool = False) -> DataFrame:
     """(key, pos, code_name, section, block): blocks of bills whose intro names a section of a code."""
 

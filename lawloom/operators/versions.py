@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lawloom.operators.intervals import as_of
+
 
 def version_order(number: Column) -> Column:
     """Versions count down, so this ascends from the newest; what is no number comes first, as 0."""
@@ -88,13 +91,21 @@ def prior_chapter(anchors: DataFrame, candidates: DataFrame, on: list[str]) -> D
 
     Candidates (on, date, year, chapter, cand_id) with a date before the anchor's are ordered by
     (date, year, chapter). Where none has, or the anchor has no date, candidates of a smaller
-    (year, chapter) count, of which an anchor with a date takes dateless ones only.
+    (year, chapter) count, of which an anchor with a date takes dateless ones only. Dates are
+    times or texts of times. Anchors with a null key have no row, and a candidate without year or
+    chapter counts by its date only.
+
+    Both orders are as-of joins, so a busy section is no pair of its anchors and candidates, and
+    is split by time.
     """
-    a = anchors.select(*on, "anchor_id", F.col("date").alias("a_date"), F.struct("year", "chapter").alias("a_number"))
-    c = candidates.select(*on, "date", "year", "chapter", "cand_id")
-    met = a.join(c, on)
-    number = F.struct("year", "chapter")
-    dated = F.when(F.col("date") < F.col("a_date"), F.struct("date", "year", "chapter", "cand_id"))
-    numbered = F.when((number < F.col("a_number")) & (F.col("a_date").isNull() | F.col("date").isNull()), F.struct("year", "chapter", "cand_id"))
-    best = met.groupBy(*on, "anchor_id").agg(F.max(dated).alias("d"), F.max(numbered).alias("n"))
-    return best.select(*on, "anchor_id", F.coalesce("d.cand_id", "n.cand_id").alias("prior")).where("prior is not null")
+    key = F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in on]), F.struct(*on))
+    when = lambda: F.col("date").cast("timestamp_ntz")
+    # (year, chapter) as a time: chapters have six digits, and a year is a slice.
+    number = F.timestamp_seconds(F.col("year").cast("bigint") * 1_000_000 + F.col("chapter").cast("bigint")).cast("timestamp_ntz")
+    a = anchors.where(key.isNotNull()).select(*on, key.alias("__on"), "anchor_id", when().alias("__date"), number.alias("__number"))
+    c = candidates.where(key.isNotNull()).select(key.alias("__on"), when().alias("__date"), number.alias("__number"), F.struct("year", "chapter", "cand_id").alias("__row"))
+    dated = as_of(a, c, "__on", "__date", "__row", slice_seconds=366 * 86_400).withColumnRenamed("prior", "__by_date").drop("prior_time")
+    left = dated.where("__by_date is null")
+    numbered = as_of(left.where("__date is null"), c, "__on", "__number", "__row", slice_seconds=1_000_000).unionByName(as_of(left.where("__date is not null"), c.where("__date is null"), "__on", "__number", "__row", slice_seconds=1_000_000))
+    rows = dated.where("__by_date is not null").select(*on, "anchor_id", F.col("__by_date.cand_id").alias("prior")).unionByName(numbered.select(*on, "anchor_id", F.col("prior.cand_id").alias("prior")))
+    return rows.where("prior is not null")

@@ -27,6 +27,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder and read from there afterwards."""
+    """``df`` written once to the shared checkpoint folder and read from there afterwards.
+
+    The files go when nothing refers to them any more.
+    """
     checkpoint_folder(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)

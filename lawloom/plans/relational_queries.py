@@ -61,13 +61,11 @@ def proj2_prefix_suggest(spark, root):
     """Ten suggestions that begin like the asked section, the shortest first."""
     asked = _asked(spark, root).where("section is not null").select("ref_id", "law_code", F.lower(F.substring("section", 1, 2)).alias("prefix")).distinct()
     known = table(spark, root, "law_section").where("section_num_norm is not null").select("law_code", "section_num_norm").distinct()
-    known = known.withColumn("prefix", F.lower(F.substring("section_num_norm", 1, 2)))
-    # Prefixes of two characters make an equi-key; a shorter one is its own section.
-    rank = Window.partitionBy("ref_id").orderBy(F.length("section_num_norm"), "section_num_norm")
-    met = asked.join(known, ["law_code", "prefix"]).unionByName(
-        asked.where(F.length("prefix") < 2).join(known.withColumnRenamed("prefix", "two"), "law_code").where("startswith(two, prefix) and two != prefix").drop("two"), allowMissingColumns=True
-    )
-    return met.withColumn("rank", F.row_number().over(rank)).where("rank <= 10").select("ref_id", F.col("section_num_norm").alias("suggestion"), F.col("rank").cast("bigint").alias("rank"))
+    # The ten best of each prefix of up to two characters, found before any question meets them.
+    prefixes = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda n: F.lower(F.left(F.col("section_num_norm"), n))))
+    best = Window.partitionBy("law_code", "prefix").orderBy(F.length("section_num_norm"), "section_num_norm")
+    known = known.withColumn("prefix", F.explode(prefixes)).withColumn("rank", F.row_number().over(best)).where("rank <= 10")
+    return asked.join(known, ["law_code", "prefix"]).select("ref_id", F.col("section_num_norm").alias("suggestion"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(
@@ -340,7 +338,7 @@ def a9_ordered_collect(spark, root):
 def a10_ordered_distinct(spark, root):
     """Distinct actions in the order of their first occurrence."""
     refs = table(spark, root, "bill_section_ref").where("action is not null and bill_id is not null")
-    return refs.groupBy("bill_id").agg(ordered_distinct(F.col("action"), F.col("ref_id")).alias("actions"))
+    return ordered_distinct(refs, ["bill_id"], "action", "ref_id", "actions")
 
 
 @query("SELECT bill_id, arg_min(primary_location, bill_history_id) FILTER (primary_location IS NOT NULL) AS first_location FROM bill_history GROUP BY bill_id")

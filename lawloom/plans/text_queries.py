@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawloom.functions.citations import note_sections
 from lawloom.functions.flatten import detect_column, law_section_text_column
-from lawloom.functions.keys import CodeBook
+from lawloom.functions.keys import CodeBook, chapter_citation, format_session, norm_section, norm_session
 from lawloom.operators.intervals import leading_number
 from lawloom.operators.matching import matches
-from lawloom.operators.text import block_index, change_counts, enacting_blocks, extract_documents, parse_histories, parse_titles, redlines
+from lawloom.operators.text import block_index, change_counts, enacting_blocks, extract_documents, map_rows, parse_histories, parse_titles, prior_ladder, redlines
 from lawloom.operators.versions import pick_version, predecessors, prior_chapter, resolve_chapters, walk
 from lawloom.sources.tables import table
 
@@ -45,10 +46,18 @@ def t1f_flatten(spark: SparkSession, root: str) -> DataFrame:
     return docs.select("doc_id", F.md5(law_section_text_column(markup)).alias("digest"))
 
 
-@query("SELECT CASE WHEN hex(text_zlib) LIKE 'D0CF11E0%' THEN 'doc' WHEN hex(text_zlib) LIKE '504B%' THEN 'docx' WHEN hex(text_zlib) LIKE '7B5C727466%' THEN 'rtf' ELSE 'text' END AS format, count(*) AS n FROM bill_version_text WHERE text_zlib IS NOT NULL GROUP BY 1")
+_HEADS = ("D0CF11E0A1B11AE1", "504B0304", "7B5C72746631", "0A203C21444F435459504520", "20203C68746D6C3E", "")  # doc, docx, rtf, two pages, and as stored
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'doc' WHEN 1 THEN 'docx' WHEN 2 THEN 'rtf' WHEN 3 THEN 'html' WHEN 4 THEN 'html' ELSE
+    CASE WHEN regexp_matches(lower(substr(ltrim(substr(text, 1, 600), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1, 60)), '^<!doctype|<html|<body') THEN 'html' ELSE 'text' END END AS format FROM documents WHERE text IS NOT NULL"""
+)
 def t4f_detect(spark: SparkSession, root: str) -> DataFrame:
-    """T4f: formats of the blobs by their first bytes."""
-    return table(spark, root, "bill_version_text").where("text_zlib is not null").groupBy(detect_column(F.col("text_zlib")).alias("format")).agg(F.count(F.lit(1)).alias("n"))
+    """T4f: formats of files by their first bytes: documents behind the heads of six kinds of files."""
+    heads = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("doc_id") % len(_HEADS) + 1).cast("int"))
+    docs = table(spark, root, "documents").where("text is not null")
+    return docs.select("doc_id", detect_column(F.concat(F.unhex(heads), F.encode("text", "utf-8"))).alias("format"))
 
 
 @query("SELECT doc_id, 'text' AS format, length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(8199) || chr(8195) || chr(8201) || chr(8239) || chr(12288))) AS chars FROM documents WHERE text IS NOT NULL AND NOT lower(text) LIKE '%<html%' AND NOT lower(text) LIKE '%<body%'")
@@ -64,15 +73,15 @@ def t9f_extract(spark: SparkSession, root: str) -> DataFrame:
 @query("SELECT DISTINCT section, rtrim(trim(section), '.') AS key FROM bill_section_ref WHERE section IS NOT NULL")
 def k2_section_key(spark: SparkSession, root: str) -> DataFrame:
     """K2, K5: normalized section keys."""
-    return table(spark, root, "bill_section_ref").where("section is not null").select("section", F.rtrim(F.trim("section"), F.lit(".")).alias("key")).distinct()
+    rows = table(spark, root, "bill_section_ref").where("section is not null").select("section").distinct()
+    return map_rows(rows, {"section": rows["section"]}, lambda section: [(section, norm_section(section))], "section string, key string")
 
 
 @query("SELECT DISTINCT session_year, left(session_year, 4) || '-' || substr(session_year, 5, 4) AS session, CAST(substr(session_year, 1, 4) AS INT) % 2 = 1 AND CAST(substr(session_year, 5, 4) AS INT) = CAST(substr(session_year, 1, 4) AS INT) + 1 AS valid FROM bill WHERE length(session_year) = 8")
 def k11_session(spark: SparkSession, root: str) -> DataFrame:
     """Sessions as people read them, and whether they are two years from an odd one."""
-    start, end = F.substring("session_year", 1, 4), F.substring("session_year", 5, 4)
-    valid = (start.try_cast("int") % 2 == 1) & (end.try_cast("int") == start.try_cast("int") + 1)
-    return table(spark, root, "bill").where("length(session_year) = 8").select("session_year", F.concat_ws("-", start, end).alias("session"), valid.alias("valid")).distinct()
+    rows = table(spark, root, "bill").where("length(session_year) = 8").select("session_year").distinct()
+    return map_rows(rows, {"session": rows["session_year"]}, lambda session: [(session, format_session(session), norm_session(session) == session)], "session_year string, session string, valid boolean")
 
 
 @query("SELECT id, TRY_CAST(regexp_extract(section_num_norm, '^\\s*([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) AS num FROM law_section")
@@ -84,11 +93,9 @@ def k13_numval(spark: SparkSession, root: str) -> DataFrame:
 @query("SELECT bill_id, CASE WHEN chapter_num IS NOT NULL AND chapter_num <> '' THEN 'Stats. ' || chapter_year || ', ' || CASE WHEN coalesce(TRY_CAST(chapter_session_num AS INT), 0) > 0 THEN chapter_session_num || CASE WHEN TRY_CAST(chapter_session_num AS INT) % 100 IN (11, 12, 13) THEN 'th' WHEN TRY_CAST(chapter_session_num AS INT) % 10 = 1 THEN 'st' WHEN TRY_CAST(chapter_session_num AS INT) % 10 = 2 THEN 'nd' WHEN TRY_CAST(chapter_session_num AS INT) % 10 = 3 THEN 'rd' ELSE 'th' END || ' Ex. Sess., ' ELSE '' END || 'Ch. ' || chapter_num END AS citation FROM bill")
 def k15_citation(spark: SparkSession, root: str) -> DataFrame:
     """Chapter citations, null without a number."""
-    n = F.col("chapter_session_num").try_cast("int")
-    suffix = F.when((n % 100).isin(11, 12, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
-    extra = F.when(n > 0, F.concat("chapter_session_num", suffix, F.lit(" Ex. Sess., "))).otherwise(F.lit(""))
-    cited = F.concat(F.lit("Stats. "), "chapter_year", F.lit(", "), extra, F.lit("Ch. "), "chapter_num")
-    return table(spark, root, "bill").select("bill_id", F.when(F.col("chapter_num").isNotNull() & (F.col("chapter_num") != ""), cited).alias("citation"))
+    rows = table(spark, root, "bill")
+    inputs = {"key": rows["bill_id"], "kind": rows["chapter_type"], "year": rows["chapter_year"], "number": rows["chapter_num"], "session": rows["chapter_session_num"]}
+    return map_rows(rows, inputs, lambda key, kind, year, number, session: [(key, chapter_citation(kind, year, number, session))], "bill_id string, citation string")
 
 
 # --- citations
@@ -128,16 +135,17 @@ def c3_events(spark: SparkSession, root: str) -> DataFrame:
     return events.groupBy("event.kind", "event.role").agg(F.count(F.lit(1)).alias("n"))
 
 
-_HINT = r"Stats\.?\s*(\d{4})\s*,\s*Ch\.?\s*(\d{1,6})\s*,\s*Sec\.?\s*([0-9][0-9.]*)"
+_EX = r"(?:(\d{1,2})(?:st|nd|rd|th)\s+Ex(?:traordinary|\.)?(?:\s*Sess\.?)?\s*,\s*)?"
+_HINT = rf"Stats\.?\s*(\d{{4}})\s*,\s*{_EX}Ch\.?\s*(\d{{1,6}})\s*(?:\([^)]*\)\s*)?,\s*Sec\.?\s*([0-9][0-9.]*)"
+_HINTS = ", ".join(f"unnest(regexp_extract_all(history, '{_HINT}', {k})) AS {c}" for k, c in ((1, "y"), (2, "x"), (3, "c"), (4, "s")))
 
 
-@query(f"SELECT DISTINCT id, y AS year, c AS chapter, rtrim(s, '.') AS act_section FROM (SELECT id, unnest(regexp_extract_all(history, '{_HINT}', 1)) AS y, unnest(regexp_extract_all(history, '{_HINT}', 2)) AS c, unnest(regexp_extract_all(history, '{_HINT}', 3)) AS s FROM law_section)")
+@query(f"SELECT DISTINCT id, CAST(y AS INT) AS year, CAST(c AS INT) AS chapter, coalesce(TRY_CAST(x AS INT), 0) AS ex_session, rtrim(s, '.') AS act_section FROM (SELECT id, {_HINTS} FROM law_section)")
 def c4_hints(spark: SparkSession, root: str) -> DataFrame:
-    """C4: sections of the acts that histories cite, all in native arrays."""
-    part = lambda k: F.regexp_extract_all("history", F.lit(_HINT), F.lit(k))
-    zipped = F.arrays_zip(part(1).alias("year"), part(2).alias("chapter"), part(3).alias("s"))
-    rows = table(spark, root, "law_section").select("id", F.explode(zipped).alias("h"))
-    return rows.select("id", F.col("h.year").alias("year"), F.col("h.chapter").alias("chapter"), F.rtrim("h.s", F.lit(".")).alias("act_section")).distinct()
+    """C4: sections of the acts that histories cite."""
+    rows = table(spark, root, "law_section")
+    work = lambda key, note: [(key, *chapter, section) for chapter, section in note_sections(note)]
+    return map_rows(rows, {"key": rows["id"], "note": rows["history"]}, work, "id string, year int, chapter int, ex_session int, act_section string").distinct()
 
 
 # --- blocks and redlines
@@ -236,12 +244,39 @@ _CHAPTERED = "(SELECT DISTINCT r.law_code, rtrim(trim(r.section), '.') AS sectio
 )
 def l4_prior_chapter(spark: SparkSession, root: str) -> DataFrame:
     """For each chaptered bill that touches a section the bill that did so before it."""
+    rows = _enacted(spark, root)
+    return prior_chapter(rows.withColumnRenamed("cand_id", "anchor_id"), rows, ["law_code", "section"])
+
+
+def _enacted(spark: SparkSession, root: str) -> DataFrame:
+    """(law_code, section, cand_id, date, year, chapter) of each chaptered bill that touches a section."""
     refs, bills, versions = (table(spark, root, n) for n in ("bill_section_ref", "bill", "bill_version"))
     latest = bills.where("chapter_num is not null").select("bill_id", F.col("latest_bill_version_id").alias("bill_version_id"), F.col("chapter_year").try_cast("int").alias("year"), F.col("chapter_num").try_cast("int").alias("chapter"))
     dated = versions.groupBy("bill_version_id").agg(F.date_format(F.max("action_date"), "yyyy-MM-dd HH:mm:ss").alias("date"))
     touched = refs.where("section is not null and law_code is not null").select("law_code", F.rtrim(F.trim("section"), F.lit(".")).alias("section"), "bill_id", "bill_version_id")
-    rows = touched.join(latest, ["bill_id", "bill_version_id"]).join(dated, "bill_version_id", "left").select("law_code", "section", "bill_id", "date", "year", "chapter").distinct()
-    return prior_chapter(rows.withColumnRenamed("bill_id", "anchor_id"), rows.withColumnRenamed("bill_id", "cand_id"), ["law_code", "section"])
+    return touched.join(latest, ["bill_id", "bill_version_id"]).join(dated, "bill_version_id", "left").select("law_code", "section", F.col("bill_id").alias("cand_id"), "date", "year", "chapter").distinct()
+
+
+_PAREN = r"\([^)]*?Stats\.?\s*(\d{4})\s*,\s*(?:\d{1,2}(?:st|nd|rd|th)\s+Ex(?:traordinary|\.)?(?:\s*Sess\.?)?\s*,\s*)?Ch\.?\s*(\d{1,6})"
+
+
+@query(
+    f"""WITH a AS (SELECT law_code, section_num_norm AS section, id AS anchor_id, history, TRY_CAST(op_statutes AS INT) AS year, TRY_CAST(op_chapter AS INT) AS chapter FROM law_section WHERE law_code IS NOT NULL AND section_num_norm IS NOT NULL),
+    e AS (SELECT a.anchor_id, max(struct_pack(y := c.year, n := c.chapter, id := c.bill_id)) AS m FROM a JOIN {_CHAPTERED} c USING (law_code, section) WHERE c.year < a.year OR (c.year = a.year AND c.chapter < a.chapter) GROUP BY 1)
+    SELECT law_code, section, anchor_id, CASE WHEN starts_with(lower(coalesce(history, '')), 'added') THEN 'added' WHEN regexp_matches(history, '{_PAREN}') THEN 'note' WHEN e.m IS NOT NULL THEN 'earlier_chapter' ELSE 'untraceable' END AS rung,
+      CASE WHEN starts_with(lower(coalesce(history, '')), 'added') THEN NULL WHEN regexp_matches(history, '{_PAREN}') THEN CAST(regexp_extract(history, '{_PAREN}', 1) AS INT) ELSE e.m.y END AS year,
+      CASE WHEN starts_with(lower(coalesce(history, '')), 'added') THEN NULL WHEN regexp_matches(history, '{_PAREN}') THEN CAST(regexp_extract(history, '{_PAREN}', 2) AS INT) ELSE e.m.n END AS chapter
+    FROM a LEFT JOIN e USING (anchor_id)"""
+)
+def l4_ladder(spark: SparkSession, root: str) -> DataFrame:
+    """L4: the version before each section of current law, by the rungs of the ladder."""
+    sections = table(spark, root, "law_section").where("law_code is not null and section_num_norm is not null")
+    none = F.lit(None).cast("string")
+    anchors = sections.select("law_code", F.col("section_num_norm").alias("section"), F.col("id").alias("anchor_id"), F.col("history").alias("note"), none.alias("action"), none.alias("lineage"), none.alias("sibling"), F.col("op_statutes").try_cast("int").alias("year"), F.col("op_chapter").try_cast("int").alias("chapter"))
+    rows = _enacted(spark, root)
+    found = prior_chapter(anchors.withColumn("date", none), rows, ["law_code", "section"])
+    chapters = rows.groupBy("cand_id").agg(F.max("year").alias("year"), F.max("chapter").alias("chapter")).withColumnRenamed("cand_id", "prior")
+    return prior_ladder(anchors, ["law_code", "section"], found.join(chapters, "prior")).drop("act_section")
 
 
 _NUM = "TRY_CAST(regexp_extract({}, '^\\s*([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE)"

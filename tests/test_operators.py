@@ -15,6 +15,7 @@ from lawloom.operators.limiter import allow, limit_hits
 from lawloom.operators.matching import matches
 from lawloom.operators.quality import Check, age_in_days, era_notes, gate, metrics, not_worse, passed
 from lawloom.operators.relational import ancestors, first_store, flagged, last_write, ordered_distinct, unpivot_metrics, with_headings
+from lawloom.operators.text import prior_ladder
 from lawloom.operators.versions import pick_version, predecessors, prior_chapter, resolve_chapters, walk
 
 RNG = random.Random(7)
@@ -81,7 +82,7 @@ def test_relational(spark):
     stores = [df.where("k = 'b'").select("k", "n"), df.select("k", "n")]
     assert sorted((str(r.k), r.n, r.store) for r in first_store(stores, ["k"]).collect()) == [("None", 1, 1), ("a", 1, 1), ("a", 2, 1), ("b", 1, 0)]
     many = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("a", 2, "x"), ("a", 0, None)], "k string, n int, v string")
-    assert many.groupBy("k").agg(ordered_distinct(F.col("v"), F.col("n")).alias("v")).first().v == ["y", "x"]
+    assert ordered_distinct(many, ["k"], "v", "n", "v").first().v == ["y", "x"]
     assert df.select(ancestors(F.lit("a.b.c")).alias("p")).first().p == ["a", "a.b", "a.b.c"]
     nodes = spark.createDataFrame([(1, "a.b"), (2, "z"), (3, None)], "id int, path string")
     heads = spark.createDataFrame([("a", "A"), ("a.b", "AB")], "path string, heading string")
@@ -92,6 +93,26 @@ def test_relational(spark):
 # --- versions
 
 
+def test_prior_ladder(spark):
+    rows = [
+        ("added", "Added by Stats. 1950, Ch. 1.", None, None, None, 1950, 1),
+        ("block added", None, "added to the Code, to read", None, None, 2000, 1),
+        ("note", "Amended (as amended by Stats. 1977, Ch. 5, Sec. 17) by Stats. 1980, Ch. 1.", None, "as added by Section 3 of Chapter 9 of the Statutes of 1970", None, 1980, 1),
+        ("lineage", None, "amended to read", "as added by Section 3 of Chapter 9 of the Statutes of 1970", None, 1980, 1),
+        ("sibling", None, "amended to read", "as amended by Section 1 of Chapter 1 of the Statutes of 1980", "as added by Chapter 8 of the Statutes of 1969", 1980, 1),
+        ("earlier", "Amended by Stats. 1980, Ch. 1.", None, None, None, 1980, 1),
+        ("lost", None, None, None, None, None, None),
+    ]
+    anchors = spark.createDataFrame([("C", *r) for r in rows], "code string, anchor_id string, note string, action string, lineage string, sibling string, year int, chapter int")
+    earlier = spark.createDataFrame([("C", "earlier", 1960, 7), ("C", "note", 1961, 7), ("C", "added", 1962, 7)], "code string, anchor_id string, year int, chapter int")
+    got = {r.anchor_id: (r.rung, r.year, r.chapter, r.act_section) for r in prior_ladder(anchors, ["code"], earlier).collect()}
+    assert got == {
+        "added": ("added", None, None, None), "block added": ("added", None, None, None), "note": ("note", 1977, 5, "17"), "lineage": ("lineage", 1970, 9, "3"),
+        "sibling": ("sibling", 1969, 8, None), "earlier": ("earlier_chapter", 1960, 7, None), "lost": ("untraceable", None, None, None),
+    }
+    assert prior_ladder(anchors.limit(0), ["code"], earlier).count() == 0
+
+
 def test_versions(spark):
     rows = [("b", "v1", "99", dt.datetime(2020, 1, 1), "Introduced"), ("b", "v2", "98", dt.datetime(2020, 3, 1), "Amended once"), ("b", "v3", "97", dt.datetime(2020, 3, 9), "AMENDED twice"), ("b", "v3", "97", dt.datetime(2020, 3, 9), "AMENDED twice"), ("c", "w", None, None, None), (None, "x", "1", None, None)]
     df = spark.createDataFrame(rows, "bill_id string, bill_version_id string, version_num string, action_date timestamp_ntz, action string")
@@ -139,7 +160,24 @@ def docs(spark):
 def test_matching(docs, expression, want):
     tree = S.parse_match(expression)
     assert {r.id for r in S.matching(tree, S.postings(docs, "id", "text"), "id").collect()} == want
-    assert {r.id for r in docs.where(S.matches_text(tree, S.spaced(F.col("text")))).collect()} == want
+    assert {r.id for r in docs.where(S.matches_text(tree, F.col("text"))).collect()} == want
+
+
+def test_index(spark, docs, tmp_path):
+    docs = docs.withColumn("source", F.lit("s"))
+    S.write_index(docs, "id", "text", str(tmp_path / "index"), carried="source")
+    index = S.read_index(spark, str(tmp_path / "index"))
+    assert index.size.first().docs == 7 and index.posted.count() == S.postings(docs, "id", "text").count() and index.posted.where("source <> 's'").isEmpty()
+    for expression in ("agency", "caf*", "(record OR dealer) AND shall", "NEAR(dealer agency, 4)", "agen* deal*"):
+        tree = S.parse_match(expression)
+        words, prefixes = S.words_of(tree)
+        some = index.of(words, prefixes)
+        assert {r.id for r in S.matching(tree, some, "id").collect()} == {r.id for r in S.matching(tree, S.postings(docs, "id", "text"), "id").collect()}
+        assert all(r.term in words or r.term.startswith(tuple(prefixes)) for r in some.select("term").collect())
+    plan = index.of(["agency"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,agency)" in plan
+    S.write_index(docs.limit(0), "id", "text", str(tmp_path / "none"))
+    assert S.read_index(spark, str(tmp_path / "none")).size.first().docs == 0
 
 
 def test_bm25(spark, docs):

@@ -5,6 +5,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from lawloom.catalog import Catalog
 from lawloom.cli import main
@@ -19,7 +20,10 @@ def test_load_table(spark, tmp_path):
     (tmp_path / "A_TBL.dat").write_bytes("`x\\ty`\tNULL\n1\t2\t3\n`é`\t``\n".encode())
     rows, bad = load_table(spark, str(tmp_path / "A_TBL.dat"), ["a", "b"])
     assert [(r.a, r.b, r._row) for r in rows.orderBy("_row").collect()] == [("x\ty", None, 0), ("é", "", 2)]
-    assert [r.bad for r in bad.collect()] == [1]
+    assert [(r._file, r._row, r._arity, r._fields) for r in bad.collect()] == [("A_TBL.dat", 1, 3, ["1", "2", "3"])]
+    (tmp_path / "B_TBL.dat").write_bytes("1\t2\n".encode() * 25_000 + "é\t".encode("latin-1"))
+    both, _ = load_table(spark, str(tmp_path / "*_TBL.dat"), ["a", "b"])
+    assert {r._file: r.n for r in both.groupBy("_file").agg(F.count("*").alias("n")).collect()} == {"A_TBL.dat": 2, "B_TBL.dat": 25_001}
     with pytest.warns(UserWarning):
         rows, bad = load_table(spark, str(tmp_path / "none.dat"), ["a"])
     assert rows.count() == 0 and bad.count() == 0
@@ -42,6 +46,10 @@ def test_blobs(spark, tmp_path):
 
 def test_sessions_resume(spark, tmp_path):
     calls = []
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken/x.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        ingest_sessions(spark, {"1999": lambda: None}, str(tmp_path / "t"), str(tmp_path / "broken"))
 
     def load(name, fail=False):
         def run():
@@ -108,6 +116,22 @@ def test_section_tools(tools):
     assert tools.bills_affecting_section("BRG", "999")["bills"] == []
 
 
+def test_published_index(spark, tools, tmp_path):
+    root = str(tmp_path / "indexed")
+    toc = spark.createDataFrame([("BRG", "Bridges", "1"), ("BRG", "Dealers", "1.1"), ("BRG", "", "1.1.1")], "law_code string, heading string, node_treepath string")
+    place = spark.createDataFrame([("BRG", "12.", "1.1.1"), ("BRG", "13.", "1")], "law_code string, section_num string, node_treepath string")
+    tables = {**tools.c.now._tables, "law_toc": toc, "law_toc_sections": place}
+    publish(tables, root, {"session_year": "20232024"}, "v1", indexes={"law_section": ("id", "content_text")})
+    stored = Tools(Catalog.published(spark, root, pending=frozenset({"Open"})))
+    assert stored.c.now.index("law_section") and not stored.c.now.index("bill")
+    for query in ("dealer file", "bridge*", '"other bridge" OR dealer', "text NOT dealer"):
+        want, got = tools.search_sections(query)["results"], stored.search_sections(query)["results"]
+        assert [{**r, "heading": None} for r in got] == want and want
+    assert stored.search_sections("dealer OR bridge")["results"][0]["heading"] in ("Dealers", "Bridges")
+    assert {r["section"]: r["heading"] for r in stored.search_sections("dealer OR bridge")["results"]} == {"12": "Dealers", "13": "Bridges"}
+    assert stored.get_section("bridges code", "12")["hierarchy"] == ["Bridges", "Dealers"]
+
+
 def test_bill_tools(tools):
     bill = tools.get_bill("AB 1")["bill"]
     assert [h["action"] for h in bill["history"]] == ["a", "b"] and [v["version_id"] for v in bill["versions"]] == ["v1b", "v1a"] and bill["chapter"] == "Stats. 2023, Ch. 5"
