@@ -45,6 +45,8 @@ CHAINS: tuple[tuple[tuple[str, str], ...], ...] = (
     (("cp1252", "latin-1"),),
 )
 CLEAN = 0
+LOSS = len(CHAINS)  # characters that could not be read were replaced for good: no clean text holds them
+WAYS = len(CHAINS) + 1
 LAST_STEPS = sorted({chain[-1] for chain in CHAINS if chain})
 
 
@@ -121,8 +123,8 @@ def _may_undo(stretch: str, written: str, read: str) -> bool:
 
 @lru_cache(maxsize=100_000)
 def readings(stretch: str) -> tuple[tuple[int, str], ...]:
-    """(chain, text) for each chain that can have made the stretch, the clean one first."""
-    found = [(CLEAN, stretch)]
+    """(chain, text) for each chain that can have made the stretch; the clean one comes first, or LOSS where it cannot be clean."""
+    found = [(LOSS if LOST in stretch else CLEAN, stretch)]
     may = {step: _may_undo(stretch, *step) for step in LAST_STEPS}
     for number, chain in enumerate(CHAINS[1:], 1):
         if may[chain[-1]] and (text := undo(stretch, chain)) is not None and not any(_unused(c) for c in text if c not in stretch):
@@ -160,7 +162,7 @@ def _parts(text: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
     return tuple(c for c in text if c > "\x7f"), tuple(_class(a) for a, b in zip(text, text[1:]) if a > "\x7f" and b > "\x7f")
 
 
-PRIOR = [0.9 if k == CLEAN else 0.1 / (len(CHAINS) - 1) for k in range(len(CHAINS))]
+PRIOR = [0.9 if k == CLEAN else 0.1 / (WAYS - 1) for k in range(WAYS)]
 FLOOR = 1e-4  # count of a character that none has
 FOLLOWS = 0.02  # how often a character of a class without evidence is followed by another
 
@@ -203,12 +205,12 @@ def _clean_text(sums: defaultdict, text: str, weight: float) -> None:
 
 def _survey(batches: Iterator[pa.RecordBatch]):
     """Counts of a task's texts: characters of clean stretches, clean stretches of each pool, and
-    each stretch of several readings."""
+    each stretch that is not clean for certain."""
     sums: defaultdict[tuple, float] = defaultdict(float)
     for batch in batches:
         for pool, text in zip(*(c.to_pylist() for c in batch.columns)):
             for stretch in _STRETCH.findall(text):
-                if len(readings(stretch)) > 1 or LOST in stretch:
+                if readings(stretch)[-1][0] != CLEAN:
                     sums[AMBIGUOUS, pool, stretch] += 1
                 else:
                     sums[POOL, pool, None] += 1
@@ -280,7 +282,7 @@ def _weights(mixture: list[dict] | None, model: Model) -> list[float]:
     """Log weights of the chains of a pool; one without evidence has those of all pools."""
     if mixture is None:
         return model.unknown
-    sums = [0.0] * len(CHAINS)
+    sums = [0.0] * WAYS
     for row in mixture:
         sums[int(row["what"])] += row["weight"]
     total = sum(sums) + 1.0
@@ -330,9 +332,8 @@ def _judge(model):
                 for chain, text, p in zip(chains, texts, posterior([*zip(chains, texts)], n, _weights(mixture, m), m)[0]):
                     by_text[text] += p
                     clean += p * (chain == CLEAN)
-                lost = LOST in stretch
-                if lost or clean < 0.5:
-                    out.append((pool, stretch, max(by_text, key=lambda t: (by_text[t], t)), lost))
+                if clean < 0.5:
+                    out.append((pool, stretch, max(by_text, key=lambda t: (by_text[t], t)), LOST in stretch))
             types = (pa.string(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["pool", "stretch", "meant", "lost"])
 
@@ -340,13 +341,13 @@ def _judge(model):
 
 
 def _doubtful(batches: Iterator[pa.RecordBatch]):
-    """(pool, text_id, stretch) for each distinct stretch of a text that has several readings or lost characters."""
+    """(pool, text_id, stretch) for each distinct stretch of a text that is not clean for certain."""
     for batch in batches:
         rows = [
             (pool, name, stretch)
             for pool, name, text in zip(*(c.to_pylist() for c in batch.columns))
             for stretch in set(_STRETCH.findall(text))
-            if LOST in stretch or len(readings(stretch)) > 1
+            if readings(stretch)[-1][0] != CLEAN
         ]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["pool", "text_id", "stretch"])
 

@@ -50,6 +50,18 @@ def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split_oversized(table(spark, root, "bill_version_text"), "bill_version_id", "text_zlib", packed=True)
 
 
+def p2_rejoined(spark: SparkSession, root: str) -> DataFrame:
+    """Documents cut into pieces of 1,000 characters, 50 of which overlap, and put together again: (doc_id, digest, fits, overlaps)."""
+    pieces = split_oversized(table(spark, root, "documents"), "doc_id", "text", limit=1000, overlap=50)
+    own = F.when(F.col("pos") > 1, F.expr("substring(piece, 51)")).otherwise(F.col("piece"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "piece", own.alias("own"))))
+    packed = pieces.groupBy("doc_id").agg(listed.alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["own"]), "")
+    fits = F.forall("p", lambda x: F.length(x["piece"]) <= 1000)
+    seams = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: F.right(a["piece"], F.lit(50)) == F.left(b["piece"], F.lit(50)))
+    return packed.select("doc_id", F.md5(text).alias("digest"), fits.alias("fits"), F.forall(seams, lambda x: x).alias("overlaps"))
+
+
 def _compared(spark: SparkSession, root: str) -> DataFrame:
     prints = table(spark, root, "bill_version_text").select(F.lit("bill_version_text").alias("tbl"), F.col("bill_version_id").alias("key"), F.col("text_zlib").alias("body"), F.lit(True).alias("packed"))
     sections = table(spark, root, "law_section").select(F.lit("law_section").alias("tbl"), F.col("id").alias("key"), F.col("content_text").cast("binary").alias("body"), F.lit(False).alias("packed"))
@@ -103,6 +115,7 @@ QUERIES = {
     "p1_repaired": p1_repaired,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_rejoined": p2_rejoined,
     "p3_found": p3_found,
     "p3_sections": p3_sections,
     "p3_groups": p3_groups,
@@ -123,6 +136,7 @@ SELECT a.id AS key_a, b.id AS key_b FROM runs a JOIN runs b ON a.run = b.run AND
 GROUP BY a.id, b.id, x.n, y.n HAVING count(*) * 5 >= (x.n + y.n - count(*)) * 4
 """
 ORACLE_SQL: dict[str, str] = {
+    "p2_rejoined": "SELECT doc_id, md5(text) AS digest, true AS fits, true AS overlaps FROM documents WHERE length(text) > 0",
     "p3_sections": _SECTIONS,
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_found": f"SELECT DISTINCT d.doc_id, e.item_id FROM ({_RUNS.replace('{key}', 'doc_id').replace('{table}', 'documents')}) d JOIN ({_RUNS.replace('{key}', 'item_id').replace('{table}', 'eval_item')}) e USING (run)",
