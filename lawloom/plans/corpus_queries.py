@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawloom.operators.packed import unpack_values
+from lawloom.operators.packed import citations, unpack_values
 from lawloom.operators.references import broken_references, normal_key, validity
 from lawloom.operators.rejects import LAYOUTS, loaded, parse_lines, rejected
 from lawloom.operators.snapshots import row_digest, snapshot_changes
@@ -24,6 +24,14 @@ def p4_values(spark: SparkSession, root: str) -> DataFrame:
     return unpack_values(table(spark, root, "law_section"), "id", "history").select("id", "pos", "value")
 
 
+def p4_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    """What the values of each history hold together, in letters and digits, and their citations: nothing may be lost or moved."""
+    values = unpack_values(table(spark, root, "law_section"), "id", "history")
+    bare = F.regexp_replace("value", "[^A-Za-z0-9]", "")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", bare.alias("v")))), lambda x: x["v"]), "")
+    return values.groupBy("id").agg(F.md5(joined).alias("digest"), F.sum(citations(F.col("value"))).cast("bigint").alias("cited"), F.max(citations(F.col("value"))).cast("bigint").alias("most"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Law sections and bills added, removed or changed between neighbouring snapshots."""
     tables = (("law_section_snapshot", "id", ["content_text", "effective_date"]), ("bill_snapshot", "bill_id", ["current_status"]))
@@ -83,7 +91,7 @@ def p7_counts(spark: SparkSession, root: str) -> DataFrame:
     return _broken(spark, root).groupBy("tbl", "field", "period", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {q.__name__: q for q in (p4_found, p4_values, p5_found, p6_found, p6_rejected, p6_loaded_history, p6_loaded_sections, p7_found, p7_counts)}
+QUERIES = {q.__name__: q for q in (p4_found, p4_values, p4_round_trip, p5_found, p6_found, p6_rejected, p6_loaded_history, p6_loaded_sections, p7_found, p7_counts)}
 
 _CHANGES = """
 SELECT '{t}' AS tbl, coalesce(c.k, p.k) AS rec_key, coalesce(c.snapshot_date, p.nxt) AS snapshot_date,
@@ -157,6 +165,7 @@ ORACLE_SQL = {
     "p6_loaded_history": _loaded_sql("BILL_HISTORY_TBL.dat"),
     "p6_loaded_sections": _loaded_sql("LAW_SECTION_TBL.dat"),
     "p4_found": "SELECT id, unnest(range(1, n + 1)) AS pos FROM (SELECT id, len(regexp_extract_all(regexp_replace(history, '\\([^()]*\\)', ' ', 'g'), '\\b(?:Stats|Prop)\\.')) AS n FROM law_section) WHERE n > 1",
+    "p4_round_trip": "SELECT id, digest, n AS cited, 1 AS most FROM (SELECT id, md5(regexp_replace(history, '[^A-Za-z0-9]', '', 'g')) AS digest, len(regexp_extract_all(regexp_replace(history, '\\([^()]*\\)', ' ', 'g'), '\\b(?:Stats|Prop)\\.')) AS n FROM law_section) WHERE n > 0",
     "p5_found": _P5,
     "p7_found": _P7,
     "p7_counts": f"SELECT tbl, field, period, reason, count(*) AS n FROM ({_P7}) GROUP BY ALL",

@@ -67,6 +67,16 @@ def t9f_extract(spark: SparkSession, root: str) -> DataFrame:
     return extract_documents(docs, "doc_id", "body").select("doc_id", "format", F.length("text").cast("bigint").alias("chars"))
 
 
+@query("SELECT doc_id, 'html' AS format, md5(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL")
+def t6f_html(spark: SparkSession, root: str) -> DataFrame:
+    """T6f, T9f: documents put into pages and read again; the digest is of letters and digits."""
+    docs = table(spark, root, "documents").where("text is not null")
+    marked = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.encode(F.concat(F.lit("<!DOCTYPE html><html><!-- x --><body><p class='a'>"), marked, F.lit("</p><br/>&nbsp;</body></html>")), "utf-8")
+    found = extract_documents(docs.select("doc_id", page.alias("body")), "doc_id", "body")
+    return found.select("doc_id", "format", F.md5(F.regexp_replace("text", "[^A-Za-z0-9]", "")).alias("digest"))
+
+
 # --- keys
 
 
