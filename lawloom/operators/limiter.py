@@ -48,6 +48,9 @@ def limit_hits(hits: DataFrame, key: str, time: str, order: str, *, window: floa
     A denial changes what later hits meet, so hits are folded in order. After a pause of more than
     the window nothing is remembered; hits are therefore cut at such pauses, and a busy key becomes
     many independent groups. Rows with a null key or time are denied.
+
+    A key that never pauses for a window is one run of hits and one task, as each decision depends
+    on the one before; memory holds ``limit`` times of it, and rows stream through in batches.
     """
     known = hits.withColumn("__t", F.unix_micros(F.col(time).cast("timestamp")) / 1e6)
     grouped = _spells(known.where(F.col(key).isNotNull() & F.col("__t").isNotNull()), key, order, window, slice_seconds)

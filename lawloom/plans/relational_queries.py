@@ -329,7 +329,7 @@ def a8_ratio_gate(spark, root):
 
 @query("SELECT bill_id, list(x ORDER BY ref_id) AS refs FROM (SELECT DISTINCT bill_id, ref_id, ref_id || ':' || coalesce(action, '') || ':' || coalesce(section, '') AS x FROM bill_section_ref WHERE bill_id IS NOT NULL) GROUP BY bill_id")
 def a9_ordered_collect(spark, root):
-    """The references of each bill in order."""
+    """The references of each bill in order; the list is the feature, and as long as one bill has references."""
     refs = table(spark, root, "bill_section_ref").where("bill_id is not null").select("bill_id", "ref_id", F.concat_ws(":", F.col("ref_id").cast("string"), F.coalesce("action", F.lit("")), F.coalesce("section", F.lit(""))).alias("x")).distinct()
     return refs.groupBy("bill_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_id", "x"))), lambda r: r["x"]).alias("refs"))
 
