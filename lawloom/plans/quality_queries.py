@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lawloom.operators.limiter import limit_hits
 from lawloom.operators.quality import Check, era_notes, gate, metrics, not_worse
+from lawloom.operators.relational import unpivot_metrics
 from lawloom.operators.surveys import fixed_sample, freshest
-from lawloom.plans.relational_queries import a15_coverage
 from lawloom.plans.survey_gate import read_all, regression, survey_gate
 from lawloom.sources.tables import table
 
@@ -72,8 +72,10 @@ def q13_tables(spark: SparkSession, root: str) -> DataFrame:
 
 
 def g12_coverage(spark: SparkSession, root: str) -> DataFrame:
-    """Notes on sessions without chaptered bills or pointers; `g12_eras` has the rules of G12."""
-    return era_notes(a15_coverage(spark, root), [("chaptered", "no chaptered bills"), ("pointed", "no pointers")])
+    """Notes on kinds of measures of a session without chaptered bills or pointers, or before 2021; `g12_eras` has the rules of G12."""
+    kinds = table(spark, root, "bill").where("session_year is not null and measure_type is not null").groupBy(F.concat_ws(" ", "session_year", "measure_type").alias("session_year"))
+    wide = kinds.agg(F.count("chapter_num").alias("chaptered"), F.count("latest_bill_version_id").alias("pointed"))
+    return era_notes(unpivot_metrics(wide, ["session_year"], ["chaptered", "pointed"]), [("chaptered", "no chaptered bills"), ("pointed", "no pointers")], [(2021, "before 2021")])
 
 
 ERA_RULES = [("bill_analysis", "no analyses"), ("bill_history", "no history"), ("bill_summary_vote", "no votes")]
@@ -164,6 +166,12 @@ ORACLE_SQL = {
             "SELECT 'bill_extract.date', 'fail', n >= was, n, was FROM (SELECT floor(epoch(max(trans_update))) AS n, floor(epoch(max(trans_update) FILTER (session < last))) AS was FROM (SELECT trans_update, session_year AS session FROM bill UNION ALL SELECT trans_update, left(bill_id, 8) FROM bill_version UNION ALL SELECT trans_update, left(bill_id, 8) FROM bill_history), (SELECT max(session_year) AS last FROM bill))",
         ]
     ),
-    "g12_coverage": "SELECT session_year, 'no chaptered bills' AS note FROM bill GROUP BY session_year HAVING count(chapter_num) = 0 UNION ALL SELECT session_year, 'no pointers' FROM bill GROUP BY session_year HAVING count(latest_bill_version_id) = 0",
+    "g12_coverage": """WITH k AS (SELECT session_year || ' ' || measure_type AS session_year, count(chapter_num) AS c, count(latest_bill_version_id) AS p FROM bill WHERE session_year IS NOT NULL AND measure_type IS NOT NULL GROUP BY 1)
+    SELECT session_year, 'no chaptered bills' AS note FROM k WHERE c = 0 UNION ALL SELECT session_year, 'no pointers' FROM k WHERE p = 0 UNION ALL SELECT session_year, 'before 2021' FROM k WHERE TRY_CAST(left(session_year, 4) AS INT) < 2021""",
+    "w1_limiter": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    w AS (SELECT user_id, n, event_id, true AS allowed, [t] AS held FROM e WHERE n = 1
+      UNION ALL SELECT user_id, n, event_id, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, t) ELSE kept END
+      FROM (SELECT e.user_id, e.n, e.event_id, e.t, list_filter(w.held, lambda x: e.t - x <= 21600) AS kept FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+    SELECT event_id, allowed FROM w UNION ALL SELECT event_id, false FROM events WHERE user_id IS NULL OR ts IS NULL""",
     "g13_span": "SELECT min(session_year) AS first, max(session_year) AS last FROM bill",
 }
