@@ -1,7 +1,10 @@
 """Kernels that need no session."""
 
 import io
+import random
+import time
 import zipfile
+from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import given, settings
@@ -321,3 +324,47 @@ def test_match_grammar():
     assert parse_or_quote("a-b (c") == Node("and", (phrase("a", "b"), phrase("c")))
     with pytest.raises(MatchError):
         parse_or_quote("  ")
+
+
+def _pairs_of_texts():
+    rng = random.Random(11)
+    for letters in ("ab", "abc ", "etaoin shrdlu ", "é日a\U0001f600b"):
+        for _ in range(150):
+            a, b = ("".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(2))
+            yield a, rng.choice([b, a[: len(a) // 2] + b + a[len(a) // 2 :], a])
+
+
+@pytest.mark.parametrize("bits", [0, 8_000_000])
+def test_longest_is_that_of_difflib(monkeypatch, bits):
+    monkeypatch.setattr(R, "BITS", bits)
+    monkeypatch.setattr(R, "GRAMS", (5, 2))
+    for a, b in _pairs_of_texts():
+        m = SequenceMatcher(None, a, b, autojunk=False)
+        want = tuple(m.find_longest_match())
+        got = R._longest(a, b, 0, len(b))
+        assert got == want or got[2] == want[2] == 0
+        assert (R._matched(a, b, -1, len(a) + 1) or 0) == sum(x.size for x in m.get_matching_blocks())
+
+
+def test_partners_are_those_of_all_ratios():
+    rng = random.Random(5)
+    for _ in range(200):
+        texts = [" ".join(rng.choices("the of a dealer shall file".split(), k=rng.randint(1, 12))) for _ in range(10)]
+        olds, news = rng.choices(texts, k=5), rng.choices(texts[3:], k=6)
+        want, free = {}, 0
+        for i, old in enumerate(olds):
+            likeness = {j: SequenceMatcher(None, old, news[j], autojunk=False).ratio() for j in range(free, len(news))}
+            if likeness and max(likeness.values()) > R.PAIR_ABOVE:
+                want[i] = max(likeness, key=lambda j: (likeness[j], -j))
+                free = want[i] + 1
+        assert R._partners(olds, news) == want
+
+
+def test_long_texts_are_compared_soon():
+    rng = random.Random(2)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(400)]
+    old = rng.choices(words, k=3000)
+    new = [w if rng.random() > 0.02 else "changed" for w in old]
+    began = time.process_time()
+    assert R._partners([" ".join(old)], [" ".join(new)]) == {0: 0}
+    assert time.process_time() - began < 5  # difflib took over 20
