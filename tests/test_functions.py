@@ -368,3 +368,13 @@ def test_long_texts_are_compared_soon():
     began = time.process_time()
     assert R._partners([" ".join(old)], [" ".join(new)]) == {0: 0}
     assert time.process_time() - began < 5  # difflib took over 20
+
+
+def test_partners_need_no_exact_counts(monkeypatch):
+    """A partner that no other segment can reach is settled by its longest stretch alone."""
+    taken = []
+    longest = R._longest
+    monkeypatch.setattr(R, "_longest", lambda *x: taken.append(1) or longest(*x))
+    old = "the dealer shall file a report within ten days, and the agency shall record it"
+    news = [old[:40][::-1], "our" + old[3:], "zzz"]
+    assert R._partners([old], news) == {0: 1} and len(taken) == 1
