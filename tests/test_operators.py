@@ -19,6 +19,7 @@ from lawloom.operators.quality import Check, age_in_days, era_notes, gate, metri
 from lawloom.operators.relational import ancestors, first_store, flagged, last_write, ordered_distinct, unpivot_metrics, with_headings
 from lawloom.operators.text import prior_ladder
 from lawloom.operators.versions import pick_version, predecessors, prior_chapter, resolve_chapters, walk
+from lawloom.plans.search_queries import f6_snippet
 
 RNG = random.Random(7)
 
@@ -242,6 +243,13 @@ def test_bm25_moves_no_pairs(spark):
     assert len(best) == 4000 and moved < 1
 
 
+def test_snippets_move_no_pairs(spark, tmp_path):
+    text = F.concat_ws(" ", F.lit("alphabetical betatesting"), F.concat(F.lit("wwwwwwwww"), F.col("doc_id") % 3), F.repeat(F.lit("more "), (F.col("doc_id") % 5).cast("int")))
+    spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source")).withColumn("text", text).write.parquet(str(tmp_path / "documents.parquet"))
+    rows, moved = _moved(spark, lambda: f6_snippet(spark, str(tmp_path)).collect())
+    assert len(rows) == 2000 and all(r.snippet.count(">>") == 3 for r in rows) and moved < 1
+
+
 def test_index_moves_packed(spark, tmp_path):
     texts = [(k, " ".join(RNG.choices([f"word{w}" for w in range(500)], k=150))) for k in range(2000)]
     docs = spark.createDataFrame(texts, "id int, text string").repartition(4)
