@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MAP = 2_000_000  # words of 64 bits of a map of keys that is sent to the rows
+
 
 def last_write(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key by ``order`` (ascending, nulls first), ties by the other columns.
@@ -35,6 +37,20 @@ def flagged(df: DataFrame, keys: list[str], present: DataFrame, flag: str) -> Da
     return df.join(known, keys, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+def meeting(df: DataFrame, present: DataFrame, key: str) -> DataFrame:
+    """``df`` without most rows whose key does not occur in ``present``; no row is moved for that.
+
+    A join with ``present`` must follow, as other rows can stay: keys are looked up by hash in a bit map.
+    It has 16 bits a row of ``present``, so one of 16 other rows stays, and MAP words at most, beyond
+    which more stay.
+    """
+    words = min(present.count() // 4, MAP) + 1
+    spot = F.pmod(F.xxhash64(key), F.lit(64 * words))
+    held = present.select(spot.alias("__spot")).groupBy(F.expr("__spot div 64").alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, int(__spot % 64))")).alias("__bits"))
+    same = F.expr("__spot div 64 = __word and getbit(__bits, __spot % 64) = 1")
+    return df.withColumn("__spot", spot).join(F.broadcast(held), same, "left_semi").drop("__spot")
+
+
 def ordered_distinct(df: DataFrame, keys: list[str], value: str, order: str, name: str) -> DataFrame:
     """(keys, name): the distinct values of each key in the order in which they first occur.
 

@@ -16,7 +16,7 @@ from lawloom.operators.intervals import as_of, band, contained, nearest
 from lawloom.operators.limiter import allow, limit_hits
 from lawloom.operators.matching import matches
 from lawloom.operators.quality import Check, age_in_days, era_notes, gate, metrics, not_worse, passed
-from lawloom.operators.relational import ancestors, first_store, flagged, last_write, ordered_distinct, unpivot_metrics, with_headings
+from lawloom.operators.relational import ancestors, first_store, flagged, last_write, meeting, ordered_distinct, unpivot_metrics, with_headings
 from lawloom.operators.text import prior_ladder
 from lawloom.operators.versions import pick_version, predecessors, prior_chapter, resolve_chapters, walk
 from lawloom.plans.search_queries import f6_snippet
@@ -250,6 +250,33 @@ def test_snippets_move_no_pairs(spark, tmp_path):
     assert len(rows) == 2000 and all(r.snippet.count(">>") == 3 for r in rows) and moved < 1
 
 
+def test_snippets_move_found_texts_only(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [(k, f"Alphabetical betatesting w{k % 97:08} " + " ".join(f"{rng.getrandbits(24):06x}" for _ in range(700))) for k in range(2000)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("source", F.lit("s")).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")  # as where the documents found are many
+    try:
+        rows, moved = _moved(spark, lambda: f6_snippet(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    asked = [(q, ["alphabetical", "betatesting", f"w{q % 97:08}"], None) for q in range(0, 2000, 100)]
+    best = _best_by_hand(asked, [(k, text.lower(), None) for k, text in texts], 10)
+    assert sorted((r.query, r.doc_id) for r in rows) == sorted((q, k) for q, k, _ in best)
+    assert all(r.snippet == f">>Alphabetical<< >>betatesting<< >>w{r.query % 97:08}<< " + " ".join(texts[r.doc_id][1].split()[3:12]) + " …" for r in rows)
+    assert moved < 2  # the texts take 9
+
+
+def test_meeting(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"k{k}", k) for k in range(5000)] + [(None, -1)], "key string, n int")
+    some = spark.createDataFrame([(f"k{k}",) for k in (*range(100), *range(50), 9999)], "key string")
+    kept = [r.n for r in meeting(rows, some, "key").collect()]
+    assert len(kept) == len(set(kept)) and set(range(100)) <= set(kept) and len(kept) < 700
+    assert meeting(rows, some.limit(0), "key").count() == 0 and meeting(rows, some, "key").columns == ["key", "n"]
+    monkeypatch.setattr("lawloom.operators.relational.MAP", 2)
+    assert set(range(100)) <= {r.n for r in meeting(rows, some, "key").collect()}
+
+
 def test_index_moves_packed(spark, tmp_path):
     texts = [(k, " ".join(RNG.choices([f"word{w}" for w in range(500)], k=150))) for k in range(2000)]
     docs = spark.createDataFrame(texts, "id int, text string").repartition(4)
