@@ -157,11 +157,12 @@ def block_index(df: DataFrame, key: str, body: str, *, packed: bool = False, who
     return map_rows(df, {"key": df[key], "body": df[body]}, work, f"`{key}` {_kind(df, key)}, status string, chars int, blocks int, rising boolean, head_chars int, body_chars int")
 
 
-def redlines(pairs: DataFrame, keys: list[str], old: str, new: str, *, packed: bool = False) -> DataFrame:
+def redlines(pairs: DataFrame, keys: list[str], old: str, new: str, *, packed: bool = False, refuse: bool = True) -> DataFrame:
     """(keys, identical, refused, markdown, changes): the redline of each pair of texts.
 
-    Pairs that would take too long are refused with the reason before the work is done, so they
-    hold up no task. A missing text of a pair counts as empty; if both miss, nothing comes out.
+    Without ``refuse`` every pair is redlined, however long. With it, pairs that would take too long
+    to wait for are refused with the reason, as the tools do. A missing text of a pair counts as
+    empty; if both miss, nothing comes out.
     """
 
     def work(old, new, **key):
@@ -169,7 +170,7 @@ def redlines(pairs: DataFrame, keys: list[str], old: str, new: str, *, packed: b
         if a is None and b is None:
             return
         a, b = a or "", b or ""
-        if a != b and (why := R.refusal(a, b)):
+        if refuse and a != b and (why := R.refusal(a, b)):
             yield *key.values(), False, why, None, None
             return
         made = R.redline(a, b)
